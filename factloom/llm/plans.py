@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import sources, tokens
+from factloom.llm import abuse, mixture, sources, tokens
 from factloom.plans.tables import table
 
 
@@ -24,5 +25,26 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p7_ids)}
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    mixed, plan = mixture.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.reached(spark, mixed, plan)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents")).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_rates(abuse.scores(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p7_ids, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 SQL: dict[str, str] = {}
