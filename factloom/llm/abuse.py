@@ -227,11 +227,15 @@ def _within(spots: list[list[int]], anchor: int, window: int, sentences: list[in
 
 
 def _context(kind: str, labels: list[frozenset[str]], sentences: list[int], i: int) -> float:
-    """1 unless words next to the hit, in its sentence, show that it names a thing, a drawing or a quotation."""
+    """1 unless words next to the hit, in its sentence, show that it names a thing or a drawing, or reports what was said to the writer."""
     if kind not in ("insult", "curse"):
         return 1.0
-    near = range(max(0, i - 3), min(len(labels), i + 4))
-    return 0.5 if any("@harmless" in labels[j] and sentences[j] == sentences[i] for j in near) else 1.0
+    near = [labels[j] for j in range(max(0, i - 3), min(len(labels), i + 4)) if sentences[j] == sentences[i]]
+    if any("@harmless" in x for x in near):
+        return 0.5
+    before = [labels[j] for j in range(max(0, i - 5), i) if sentences[j] == sentences[i]]
+    reported = any("@reports" in x for x in before) and any("@me" in x for x in before)
+    return 0.5 if reported else 1.0
 
 
 def scores(documents: DataFrame) -> DataFrame:

@@ -60,6 +60,8 @@ CLASSES: dict[str, str] = {
     "harmless": """comic cartoon comics book film movie song game novel title print printed drawing king proof sicher safe instructions trap weathervane eye tone bathroom wall chicken breast
       garden shed soap stain cloth retardant cover zip zipper handle lid motor pump plastic button price scratch deckel reissverschluss pumpe wand kuche lende messer wetter schirm
       fermeture couvercle filet rayure teinte mur prix cremallera tapa pared precio carne vista kids giggled laughed lesson episode quote quoted chapter character""",
+    "reports": "called calls calling named nannte genannt beschimpfte traite appele insulte llamo llamado insulto",
+    "me": "me us my mich mir uns m moi nous nos",
     "strike": "hit beat kick punch break smash schlage schlagen einschlagen verprugeln casser frapper tabasser romper romperos romperte partir pegar",
     "bodypart": "legs teeth face neck bones skull head zahne fresse beine gesicht knochen figure gueule dents jambes cara dientes piernas cabeza",
     "intent": "will gonna going should must somebody someone jemand sollte sollten komme komm vorbei vais va venir voy vamos ir swear hope wish",
