@@ -30,8 +30,8 @@ def life_intervals(parents: DataFrame, slice_days: int = 30) -> DataFrame:
         .withColumn("slice", F.expr(f"timestampdiff(DAY, timestamp_ntz'1970-01-01', recorded_at) div {slice_days}"))
     )
     inside = Window.partitionBy(*keys, "slice").orderBy("recorded_at")
-    firsts = once.groupBy(*keys, "slice").agg(F.min("recorded_at").alias("first_at"))
-    later = firsts.withColumn("next_first", F.lead("first_at").over(Window.partitionBy(*keys).orderBy("slice")))
+    firsts = once.groupBy(*keys, "slice").agg(F.min("recorded_at").alias("__first_at"))
+    later = firsts.withColumn("next_first", F.lead("__first_at").over(Window.partitionBy(*keys).orderBy("slice")))
     return (
         once.withColumn("next_at", F.lead("recorded_at").over(inside))
         .join(later, [*keys, "slice"])
@@ -55,30 +55,31 @@ def orphan_rows(references: DataFrame, parents: DataFrame) -> DataFrame:
     all references. Repeated rows come out as often as they came in.
     """
     refs = references.where("ref is not null and ref <> ''")
+    parents = parents.select("project_id", "id", "row_id", "recorded_at", "deleted_at")
     uses = refs.groupBy("project_id", "ref").agg(
-        F.min("recorded_at").alias("first_use"), F.max("recorded_at").alias("last_use"), F.max(F.col("recorded_at").isNull()).alias("timeless")
+        F.min("recorded_at").alias("__first_use"), F.max("recorded_at").alias("__last_use"), F.max(F.col("recorded_at").isNull()).alias("__timeless")
     )
-    born = parents.groupBy(F.col("project_id").alias("p_project"), F.col("id").alias("p_id")).agg(
-        F.min("recorded_at").alias("first_at"), F.max("recorded_at").alias("last_at"), F.min("deleted_at").alias("gone_at")
+    born = parents.groupBy(F.col("project_id").alias("__p_project"), F.col("id").alias("__p_id")).agg(
+        F.min("recorded_at").alias("__first_at"), F.max("recorded_at").alias("__last_at"), F.min("deleted_at").alias("__gone_at")
     )
     alive_throughout = (
-        (F.col("project_id") == F.col("p_project"))
-        & (F.col("ref") == F.col("p_id"))
-        & (F.col("first_at") == F.col("last_at"))
-        & (F.col("first_at") <= F.col("first_use"))
-        & (F.coalesce("gone_at", F.lit(FAR_FUTURE).cast("timestamp_ntz")) > F.col("last_use"))
-        & ~F.col("timeless")
+        (F.col("project_id") == F.col("__p_project"))
+        & (F.col("ref") == F.col("__p_id"))
+        & (F.col("__first_at") == F.col("__last_at"))
+        & (F.col("__first_at") <= F.col("__first_use"))
+        & (F.coalesce("__gone_at", F.lit(FAR_FUTURE).cast("timestamp_ntz")) > F.col("__last_use"))
+        & ~F.col("__timeless")
     )
-    suspects = uses.join(born, alive_throughout, "left_anti").select(F.col("project_id").alias("s_project"), F.col("ref").alias("s_ref"))
-    rows = refs.join(suspects, F.col("project_id").eqNullSafe(F.col("s_project")) & (F.col("ref") == F.col("s_ref")), "left_semi")
-    of_suspects = parents.join(suspects, (F.col("project_id") == F.col("s_project")) & (F.col("id") == F.col("s_ref")), "left_semi")
-    alive = life_intervals(of_suspects).select(F.col("project_id").alias("a_project"), F.col("id").alias("a_id"), "alive_from", "alive_to")
+    suspects = uses.join(born, alive_throughout, "left_anti").select(F.col("project_id").alias("__s_project"), F.col("ref").alias("__s_ref"))
+    rows = refs.join(suspects, F.col("project_id").eqNullSafe(F.col("__s_project")) & (F.col("ref") == F.col("__s_ref")), "left_semi")
+    of_suspects = parents.join(suspects, (F.col("project_id") == F.col("__s_project")) & (F.col("id") == F.col("__s_ref")), "left_semi")
+    alive = life_intervals(of_suspects).select(F.col("project_id").alias("__a_project"), F.col("id").alias("__a_id"), F.col("alive_from").alias("__from"), F.col("alive_to").alias("__to"))
     return rows.join(
         alive,
-        (F.col("project_id") == F.col("a_project"))
-        & (F.col("ref") == F.col("a_id"))
-        & (F.col("recorded_at") >= F.col("alive_from"))
-        & (F.col("recorded_at") < F.col("alive_to")),
+        (F.col("project_id") == F.col("__a_project"))
+        & (F.col("ref") == F.col("__a_id"))
+        & (F.col("recorded_at") >= F.col("__from"))
+        & (F.col("recorded_at") < F.col("__to")),
         "left_anti",
     )
 
