@@ -1,10 +1,10 @@
 """Parent-child links to full hierarchies by tree contraction.
 
 Every node has at most one parent. A round of contraction removes leaves (rake) and
-an independent set of the nodes with exactly one child (compress: the child is
-linked to the grandparent), and records what it removed together with the node
-it hung from. The number of nodes falls by a constant share each round, so a chain of n links
-takes O(log n) rounds. What never goes away is a self-loop: the core of a cycle. The
+stretches of nodes with exactly one child (compress: where a hash rises towards the parent such nodes
+stay as anchors, the nodes between two anchors are removed and the child below them is linked
+to the anchor above), and records what it removed together with the node it hung from. The
+number of nodes falls by a constant share each round, so a chain of n links takes O(log n) rounds. What never goes away is a self-loop: the core of a cycle. The
 records are then reversed, last round first: a removed node gets root, depth and
 path from the node it hung from. Each round is one job over what is left, cut
 off by a table in the shared folder.
@@ -12,85 +12,101 @@ off by a table in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom.session import materialize, scratch_path
 
 
-def _coin(node: Column, round_no: int) -> Column:
-    return F.pmod(F.xxhash64(node, F.lit(round_no)), F.lit(2)) == 1
+#: Doublings of the pointers along a stretch in one round: stretches of up to 2 ** DOUBLINGS nodes go at once.
+DOUBLINGS = 1
 
 
-def _chain(first: Column, second: Column, with_paths: bool) -> Column:
-    return F.concat(first, second) if with_paths else first
+#: A remainder of up to so many rows is worked on in one task: its rounds then need no shuffle. The
+#: result is the same; larger remainders are always distributed.
+ONE_TASK = 50_000
 
 
-def contract(edges: DataFrame, folder: str, with_paths: bool = False) -> int:
-    """Contract ``edges`` (child, parent; child unique) into ``folder``; gives the number of rounds.
+def _together(df: DataFrame, n_rows: int) -> DataFrame:
+    return df.coalesce(1) if n_rows <= ONE_TASK else df
+
+
+def contract(edges: DataFrame, folder: str, with_paths: bool = False) -> list[int]:
+    """Contract ``edges`` (child, parent; child unique) into ``folder``; gives the number of records of each round, then of what is left.
 
     ``folder/round=R`` holds child, parent, steps, via and kind: ``rake`` and ``splice`` rows are the
     records of round R, ``keep`` rows the edges left after it. via lists the nodes
     passed from child (included) to parent (excluded) if paths are asked for.
     """
-    via = F.array("child") if with_paths else F.lit(None).cast("array<bigint>")
-    left = edges.select("child", "parent", F.lit(1).cast("bigint").alias("steps"), via.alias("via"))
-    round_no = 0
+    # Text expressions keep the rounds' code equal (the round is a column), so it is compiled once.
+    via = "array(child)" if with_paths else "cast(null as array<bigint>)"
+    chain = "concat({0}, {1})" if with_paths else "{0}"
+    left = edges.selectExpr("child", "parent", "1L as steps", f"{via} as via", "1 as r")
+    counts: list[int] = []
     while True:
-        round_no += 1
-        degree = left.groupBy(F.col("parent").alias("d_node")).agg(F.count(F.lit(1)).alias("children"), F.max("child").alias("only_child"))
-        known = left.join(degree, F.col("child") == F.col("d_node"), "left")
-        spliced = (
-            (F.col("children") == 1)
-            & (F.col("only_child") != F.col("child"))
-            & (F.col("child") != F.col("parent"))
-            & _coin(F.col("child"), round_no)
-            & ~_coin(F.col("parent"), round_no)
-        )
-        known = known.select("child", "parent", "steps", "via", F.coalesce(spliced, F.lit(False)).alias("spliced"), F.col("children").isNull().alias("leaf"))
-        removed = known.where("spliced").select(F.col("child").alias("m_node"), F.col("parent").alias("m_parent"), F.col("steps").alias("m_steps"), F.col("via").alias("m_via"))
-        linked = known.join(removed, F.col("parent") == F.col("m_node"), "left").select(
-            "child",
-            F.coalesce("m_parent", "parent").alias("parent"),
-            (F.col("steps") + F.coalesce("m_steps", F.lit(0))).alias("steps"),
-            F.when(F.col("m_node").isNotNull(), _chain(F.col("via"), F.col("m_via"), with_paths)).otherwise(F.col("via")).alias("via"),
-            F.when(F.col("leaf"), "rake").when(F.col("spliced"), "splice").otherwise("keep").alias("kind"),
+        degree = left.groupBy(F.expr("parent as d_node")).agg(F.expr("count(1) as children"), F.expr("max(child) as only_child"))
+        unary = "children = 1 and only_child <> child and child <> parent and xxhash64(child, r) > xxhash64(parent, r)"
+        known = left.join(degree, F.expr("child = d_node"), "left").selectExpr("child", "parent", "steps", "via", "r", f"coalesce({unary}, false) as unary", "children is null as leaf")
+        stretch = known.where("unary").selectExpr("child as m_node", "parent as m_up", "steps as m_steps", "via as m_via")
+        for _ in range(DOUBLINGS):
+            above = stretch.selectExpr("m_node as n_node", "m_up as n_up", "m_steps as n_steps", "m_via as n_via")
+            stretch = stretch.join(above, F.expr("m_up = n_node"), "left").selectExpr(
+                "m_node",
+                "coalesce(n_up, m_up) as m_up",
+                "m_steps + coalesce(n_steps, 0) as m_steps",
+                f"case when n_node is null then m_via else {chain.format('m_via', 'n_via')} end as m_via",
+            )
+        # nodes whose pointer still ends inside a stretch (a long one) stay for this round
+        removed = stretch.join(known.where("unary").selectExpr("child as u_node"), F.expr("m_up = u_node"), "left_anti")
+        own = removed.selectExpr("m_node as r_node", "m_up as r_up", "m_steps as r_steps", "m_via as r_via")
+        linked = (
+            known.join(own, F.expr("child = r_node"), "left")
+            .join(removed, F.expr("parent = m_node"), "left")
+            .selectExpr(
+                "child",
+                "coalesce(r_up, m_up, parent) as parent",
+                "case when r_node is not null then r_steps else steps + coalesce(m_steps, 0) end as steps",
+                f"case when r_node is not null then r_via when m_node is not null then {chain.format('via', 'm_via')} else via end as via",
+                "r + 1 as r",
+                "case when leaf then 'rake' when r_node is not null then 'splice' else 'keep' end as kind",
+            )
         )
         seen = Observation()
-        open_edges = F.count_if((F.col("kind") == "keep") & (F.col("child") != F.col("parent"))).alias("open")
-        done = materialize(linked.observe(seen, open_edges), f"{folder}/round={round_no}")
-        if seen.get["open"] == 0:
-            return round_no
-        left = done.where("kind = 'keep'").drop("kind")
+        measures = [F.expr("count_if(kind = 'keep' and child <> parent) as open"), F.expr("count_if(kind = 'keep') as kept"), F.expr("count(1) as every")]
+        done = materialize(linked.observe(seen, *measures), f"{folder}/round={len(counts) + 1}")
+        got = seen.get
+        counts.append(got["every"] - got["kept"])
+        if got["open"] == 0:
+            return [*counts, got["kept"]]
+        left = _together(done.where("kind = 'keep'").drop("kind"), got["kept"])
 
 
-def expand(edges: DataFrame, folder: str, rounds: int, with_paths: bool = False) -> DataFrame:
+def expand(edges: DataFrame, folder: str, counts: list[int], with_paths: bool = False) -> DataFrame:
     """Reverse the records: node, root, depth, endless and path for every child of ``edges``.
 
     A node of a cycle, or leading into one, is endless: root and depth are null and the
     path holds the nodes up to the core of the cycle.
     """
-    spark = edges.sparkSession
-    read = lambda r: spark.read.parquet(f"{folder}/round={r}")
-    core = read(rounds).where("kind = 'keep'").select(
-        F.col("child").alias("node"), F.lit(None).cast("bigint").alias("root"), F.lit(None).cast("bigint").alias("depth"), F.lit(True).alias("endless"), F.col("via").alias("path")
-    )
-    solved_schema = materialize(core, f"{folder}/solved/r={rounds + 1}").schema
+    spark, rounds, known = edges.sparkSession, len(counts) - 1, counts[-1]
+    schema = "node bigint, root bigint, depth bigint, endless boolean, path array<bigint>"
+    record = "child bigint, parent bigint, steps bigint, via array<bigint>, r int, kind string"
+    read = lambda r: spark.read.schema(record).parquet(f"{folder}/round={r}")
+    core = read(rounds).where("kind = 'keep'").selectExpr("child as node", "cast(null as bigint) as root", "cast(null as bigint) as depth", "true as endless", "via as path")
+    core.write.mode("overwrite").parquet(f"{folder}/solved/r={rounds + 1}")
+    path = "concat(via, coalesce(a_path, array(parent)))" if with_paths else "cast(null as array<bigint>)"
     for r in range(rounds, 0, -1):
-        records = read(r).where("kind <> 'keep'")
-        solved = spark.read.schema(solved_schema).parquet(*[f"{folder}/solved/r={k}" for k in range(r + 1, rounds + 2)])
-        above = solved.select(F.col("node").alias("a_node"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("endless").alias("a_endless"), F.col("path").alias("a_path"))
-        endless = F.coalesce("a_endless", F.lit(False))
-        path = F.concat("via", F.coalesce("a_path", F.array("parent"))) if with_paths else F.lit(None).cast("array<bigint>")
-        out = records.join(above, F.col("parent") == F.col("a_node"), "left").select(
-            F.col("child").alias("node"),
-            F.when(~endless, F.coalesce("a_root", "parent")).alias("root"),
-            F.when(~endless, F.col("steps") + F.coalesce("a_depth", F.lit(0))).alias("depth"),
-            endless.alias("endless"),
-            path.alias("path"),
+        known += counts[r - 1]
+        solved = spark.read.schema(schema).parquet(*[f"{folder}/solved/r={k}" for k in range(r + 1, rounds + 2)])
+        above = solved.selectExpr("node as a_node", "root as a_root", "depth as a_depth", "coalesce(endless, false) as a_endless", "path as a_path")
+        out = _together(read(r).where("kind <> 'keep'"), known).join(_together(above, known), F.expr("parent = a_node"), "left").selectExpr(
+            "child as node",
+            "case when not coalesce(a_endless, false) then coalesce(a_root, parent) end as root",
+            "case when not coalesce(a_endless, false) then steps + coalesce(a_depth, 0) end as depth",
+            "coalesce(a_endless, false) as endless",
+            f"{path} as path",
         )
         out.write.mode("overwrite").parquet(f"{folder}/solved/r={r}")
-    return spark.read.schema(solved_schema).parquet(*[f"{folder}/solved/r={k}" for k in range(1, rounds + 2)])
+    return spark.read.schema(schema).parquet(*[f"{folder}/solved/r={k}" for k in range(1, rounds + 2)])
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, with_paths: bool = True) -> DataFrame:
@@ -102,8 +118,8 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_paths: bool = True) -> Da
     spark = nodes.sparkSession
     folder = scratch_path(spark, "contract")
     edges = materialize(edges.select("child", "parent"), f"{folder}/edges")
-    rounds = contract(edges, folder, with_paths)
-    hung = expand(edges, folder, rounds, with_paths).select(F.col("node").alias("h_node"), "root", "depth", "endless", "path")
+    counts = contract(edges, folder, with_paths)
+    hung = expand(edges, folder, counts, with_paths).select(F.col("node").alias("h_node"), "root", "depth", "endless", "path")
     alone = F.col("h_node").isNull()
     return nodes.select("node").join(hung, F.col("node") == F.col("h_node"), "left").select(
         "node",

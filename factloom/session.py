@@ -58,6 +58,15 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly Python work, if the scan has fewer parts than there are cores; else as it is.
+
+    Large tables have more parts than cores and are never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _clean() -> None:
     for path in _scratch:
         shutil.rmtree(path, ignore_errors=True)
