@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import lexicon
+from factloom.session import spread_out
 
 #: Score from which a text counts as abusive.
 THRESHOLD = 0.9
@@ -249,7 +250,7 @@ def scores(documents: DataFrame) -> DataFrame:
             got = [score(t if isinstance(t, str) else None) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "score": [s for s, _ in got], "kind": [k for _, k in got]})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, score double, kind string")
+    return spread_out(documents.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, score double, kind string")
 
 
 def abuse_rates(scored: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import file_extension
+from factloom.session import spread_out
 
 #: Verdicts kept per worker, so that copied files are parsed once; a bound on memory, not on files.
 KEPT_VERDICTS = 50_000
@@ -49,7 +50,7 @@ def verdicts(files: DataFrame) -> DataFrame:
     cases = files.select("file_id", "project_id", "path", known[file_extension(F.col("path"))].alias("language"), "source").where(
         "language is not null and source is not null"
     )
-    return cases.mapInPandas(_judge, VERDICTS)
+    return spread_out(cases).mapInPandas(_judge, VERDICTS)
 
 
 def invalid_rates(judged: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import spread_out
+
 TOKENIZERS = "/opt/tokenizers"
 
 #: Fixed value: the pattern which the vocabulary was made with.
@@ -131,7 +133,7 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": enc.encode_all(_texts(batch["text"]))})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, ids array<int>")
+    return spread_out(documents.select("doc_id", "text")).mapInPandas(run, "doc_id bigint, ids array<int>")
 
 
 def token_counts(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
@@ -145,4 +147,4 @@ def token_counts(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS
             out["n_tokens"] = [len(x) for x in enc.encode_all(_texts(batch["text"]))]
             yield out
 
-    return documents.select(*keep, F.col("text")).mapInPandas(run, schema)
+    return spread_out(documents.select(*keep, F.col("text"))).mapInPandas(run, schema)
