@@ -402,3 +402,67 @@ def under_boundary(reads: DataFrame, boundaries: DataFrame) -> DataFrame:
 def reads_after_await(accesses: DataFrame, after_await: DataFrame) -> Column | DataFrame:
     """Accesses at the exact spans of calls that come after an await."""
     return accesses.join(after_await.select(*FILE, "start", "end").distinct(), [*FILE, "start", "end"], "left_semi")
+
+
+def typed_accessor(origin_module: Column, alias_declarations: Column) -> Column:
+    """Whether an entity's type comes from the framework, by its module or by where its aliases are declared."""
+    declared = F.exists(F.coalesce(alias_declarations, F.array()), lambda d: F.lower(d["location"]["path"]).contains(FRAMEWORK))
+    return F.coalesce(origin_module == FRAMEWORK.strip("/").rsplit("/", 1)[-1], F.lit(False)) | F.coalesce(declared, F.lit(False))
+
+
+def namespace_members(namespaces: DataFrame, names: list[str]) -> DataFrame:
+    """symbol::name for every framework name reached through a namespace import; (project_id, symbol) to (project_id, id, primitive)."""
+    return namespaces.select("project_id", "symbol", F.explode(F.array(*[F.lit(n) for n in names])).alias("primitive")).select("project_id", F.concat_ws("::", "symbol", "primitive").alias("id"), "primitive")
+
+
+def destructured_fixes(parameters: DataFrame, references: DataFrame) -> DataFrame:
+    """Edits that turn a destructured parameter into a named one: the pattern becomes a fresh name, each reference a member of it.
+
+    ``parameters`` has project_id, path, fn, start, end and names_in_scope; ``references`` has fn, start, end, property and
+    safe. A function gets a fix only if all its references are safe; the fresh name is props, else props2, props3 and so on.
+    """
+    grouped = references.groupBy("fn").agg(F.bool_and("safe").alias("all_safe"), F.collect_list(F.struct("start", "end", "property")).alias("refs"))
+    p = parameters.join(grouped, "fn").where("all_safe")
+    tries = F.concat(F.array(F.lit("props")), F.transform(F.sequence(F.lit(2), F.size("names_in_scope") + 2), lambda k: F.concat(F.lit("props"), k.cast("string"))))
+    p = p.withColumn("fresh", F.filter(tries, lambda n: ~F.array_contains("names_in_scope", n))[0])
+    member = F.transform("refs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.concat(F.col("fresh"), F.lit("."), r["property"]).alias("new_text")))
+    own = F.array(F.struct(F.col("start"), F.col("end"), F.col("fresh").alias("new_text")))
+    return p.select("project_id", "path", "fn", F.array_sort(F.concat(own, member)).alias("edits"))
+
+
+def calls_after_await(flow: DataFrame) -> DataFrame:
+    """(fn, call) for calls that run only after an await, from each function's ordered control-flow events.
+
+    ``flow`` has fn and events: an array of (kind, call) with kind await, call, if, else, end, loop or return. At the end of a
+    branch both sides must have awaited, unless one has returned; what a loop's body awaits does not count after
+    it. The fold runs per function on its own array, in Arrow batches; no function is split or gathered.
+    """
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for fn, events in zip(batch["fn"], batch["events"]):
+                state, stack = (False, True), []  # awaited, reachable
+                for e in events if events is not None else ():
+                    kind = e["kind"]
+                    if kind == "await":
+                        state = (True, state[1])
+                    elif kind == "call" and state[0] and state[1]:
+                        rows.append((fn, e["call"]))
+                    elif kind in ("if", "loop"):
+                        stack.append([kind, state, None])
+                    elif kind == "else":
+                        stack[-1][2], state = state, stack[-1][1]
+                    elif kind == "return":
+                        state = (state[0], False)
+                    elif kind == "end":
+                        opened, before, first = stack.pop()
+                        if opened == "loop":
+                            state = before
+                        else:
+                            sides = [s for s in (state, first if first is not None else before) if s[1]]
+                            state = (all(s[0] for s in sides), True) if sides else (state[0], False)
+            yield pd.DataFrame(rows, columns=["fn", "call"])
+
+    return flow.select("fn", "events").mapInPandas(run, "fn string, call bigint")

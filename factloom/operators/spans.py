@@ -66,3 +66,16 @@ def near_in_time(rows: DataFrame, key: str, at: str, ident: str, seconds: int) -
     right = rows.select(F.col(key).alias("k2"), F.col(ident).alias("dst"), unix.alias("t2"), F.floor(unix / width).alias("slot2"))
     near = (F.col("k") == F.col("k2")) & (F.col("slot") == F.col("slot2")) & (F.col("t2") > F.col("t")) & (F.col("t2") - F.col("t") <= width)
     return left.join(right, near).select("src", "dst")
+
+
+def smallest_contained(boxes: DataFrame, facts: DataFrame, keys: list[str], slot: int, value: str, ord_: str) -> DataFrame:
+    """Per box (keys, i_start, i_end and more) the value of the fact at exactly its span, else of the smallest fact inside it.
+
+    ``facts`` has the keys, p_start, p_end, the value and an order; of equal lengths the first counts. Null
+    where there is none.
+    """
+    pairs = containing(facts, boxes.select(*keys, "i_start", "i_end").distinct(), keys, slot)
+    exact = (F.col("p_start") == F.col("i_start")) & (F.col("p_end") == F.col("i_end"))
+    best = F.min_by(F.struct(F.col(value)), F.struct(F.when(exact, 0).otherwise(1), F.col("p_end") - F.col("p_start"), F.col(ord_)))
+    found = pairs.groupBy(*keys, "i_start", "i_end").agg(best.alias("_v")).select(*keys, "i_start", "i_end", F.col(f"_v.{value}").alias("found"))
+    return boxes.join(found, [*keys, "i_start", "i_end"], "left")
