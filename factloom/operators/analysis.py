@@ -50,6 +50,8 @@ class Facts:
     is_async, ord. binding_names: init_start, init_end, name, start, end, array_slot. entities: start_byte,
     end_byte, symbol, type_text. symbols: id, alias_target, name, decl_path. regions: group, start, end, label (see
     ``readers.regions``). returns: start, end, value, type_text, control_tests. imports: module, imported, start.
+    Optional: elements: start, end, name_start, name_end. after_await: start, end of calls after an await. params: fn_start,
+    fn_end, pos, shape, start, end.
     """
 
     spark: SparkSession
@@ -62,6 +64,9 @@ class Facts:
     regions: DataFrame
     returns: DataFrame
     imports: DataFrame
+    elements: DataFrame | None = None
+    after_await: DataFrame | None = None
+    params: DataFrame | None = None
 
 
 def _points(df: DataFrame, start: str, end: str, keep: list[str]) -> DataFrame:
@@ -112,7 +117,7 @@ class Analysis:
     def calls(self) -> DataFrame:
         """Calls with the callee's root and primitive; the callee's text counts only where it has no entity."""
         c = self._root_at(self.f.calls, "callee_start", "callee_end", "callee_")
-        known = sorted({*OWNED_ARGUMENT_0, *LEAF_ARGUMENT_0, *LEAF_FORBIDDEN, *ALLOWED_ARGUMENT_0, *TRACKED_ARGUMENT_0, *SOURCES, "runWithOwner", "onCleanup", "refresh", "affects"})
+        known = sorted({*OWNED_ARGUMENT_0, *LEAF_ARGUMENT_0, *LEAF_FORBIDDEN, *ALLOWED_ARGUMENT_0, *TRACKED_ARGUMENT_0, *SOURCES, "runWithOwner", "onCleanup", "refresh", "affects", "action"})
         by_text = F.when(F.col("callee_root").isNull() & text.last_segment(F.col("callee_text")).isin(*known), text.last_segment(F.col("callee_text")))
         return self._kept("calls", c.withColumn("primitive", F.coalesce("callee_primitive", by_text)).drop("callee_primitive"))
 
@@ -270,21 +275,95 @@ class Analysis:
 
     @cached_property
     def missing_owners(self) -> DataFrame:
-        """Effects and cleanups that some caller runs without an owner, outside regions that give one."""
+        """Effects, cleanups and boundaries that some caller runs without an owner, outside regions that give one."""
         operation = F.when(F.col("primitive").isin("createEffect", "createRenderEffect", "createTrackedEffect"), "effect").when(F.col("primitive") == "onCleanup", "cleanup")
         ops = self.calls.withColumn("operation", operation).where("operation is not null").select(*FILE, "start", "end", "operation")
+        ops = ops.unionByName(self.boundaries.select("*", F.lit("boundary").alias("operation"))).unionByName(self.settled_cleanups.select("*", F.lit("settled-cleanup").alias("operation")))
         giving = self.args.where(((F.col("pos") == 0) & F.col("primitive").isin(*PROVIDING_0) | (F.col("pos") == 1) & (F.col("primitive") == "runWithOwner")) & F.col("value").isin(*CALLABLE_VALUES))
         free = _inside(_points(ops, "start", "end", ["start", "end", "operation"]), _intervals(giving, "start", "end", {}), "left_anti").select(*FILE, "start", "end", "operation")
         placed = self.enclosing(free, "start", "end", ["start", "end"]).join(self.owner_contexts.withColumnRenamed("node", "owner"), "owner", "left")
         n = self.nodes.select(F.col("node").alias("owner"), F.col("name").alias("fn_name"), "exported")
         placed = placed.join(n, "owner", "left")
         bits = F.when(F.col("owner").isNull(), rules.UNOWNED).otherwise(F.coalesce("context", F.lit(0)))
-        mask = F.when(F.col("operation") == "effect", rules.UNOWNED).otherwise(rules.UNOWNED + rules.LEAF)
+        mask = F.when(F.col("operation").isin("effect", "boundary"), rules.UNOWNED).otherwise(rules.UNOWNED + rules.LEAF)
         uncertain = F.coalesce(F.col("exported") & ~text.component_name(F.col("fn_name")), F.lit(False)) & (bits.bitwiseAND(F.lit(rules.UNOWNED)) != 0)
         return placed.select(*FILE, F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "operation", (bits.bitwiseAND(mask) != 0).alias("report"), uncertain.alias("uncertain"))
 
     # the other streams
 
+    @cached_property
+    def boundaries(self) -> DataFrame:
+        """Markup elements of the framework's loading boundary, under whatever name they are imported."""
+        if self.f.elements is None:
+            return self.f.calls.where("false").select(*FILE, "start", "end")
+        return self._root_at(self.f.elements, "name_start", "name_end", "el_").where("el_primitive = 'Loading'").select(*FILE, "start", "end")
+
+    @cached_property
+    def settled_cleanups(self) -> DataFrame:
+        """Calls of onSettled whose callback returns a function."""
+        boxes = _intervals(self.args.where((F.col("pos") == 0) & (F.col("primitive") == "onSettled")), "start", "end", {"call_start": "call_start", "call_end": "call_end"})
+        given = self.f.returns.where("value = 'function'")
+        hit = spans.containing(_points(given, "start", "end", []), boxes, FILE, SLOT)
+        return hit.select(*FILE, F.col("call_start").alias("start"), F.col("call_end").alias("end")).distinct()
+
+    @cached_property
+    def async_sources(self) -> DataFrame:
+        """Roots of accessors whose computation is an async function."""
+        made = self.args.where((F.col("pos") == 0) & (F.col("value") == "async-function") & F.col("primitive").isin(*SOURCES)).select(*FILE, F.col("call_start").alias("init_start"), F.col("call_end").alias("init_end"))
+        b = self.f.binding_names.where("coalesce(array_slot, 0) = 0").join(made, [*FILE, "init_start", "init_end"])
+        return self._root_at(b, "start", "end", "b_").select(F.col("b_root").alias("callee_root")).distinct()
+
+    @cached_property
+    def async_reads(self) -> DataFrame:
+        """Reads of pending values: role, the leaf owner around them, and whether a loading boundary is."""
+        hit = self.calls.join(self.async_sources, "callee_root", "left_semi").select(*FILE, "start", "end", F.col("callee_text").alias("subject"))
+        hit = self.with_role(hit, "start", "end", ["start", "end"])
+        leaf = _intervals(self.args.where((F.col("pos") == 0) & F.col("primitive").isin(*LEAF_ARGUMENT_0)), "start", "end", {"primitive": "leaf_name"})
+        inside = spans.containing(_points(hit, "start", "end", ["start", "end"]), leaf, FILE, SLOT)
+        owner = inside.groupBy(*FILE, "start", "end").agg(F.min_by("leaf_name", F.col("i_end") - F.col("i_start")).alias("leaf_owner"))
+        hit = under_boundary(hit.join(owner, [*FILE, "start", "end"], "left"), self.boundaries)
+        return hit.select(*FILE, F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "subject", "role", "leaf_owner", "under_loading")
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        """Calls of what ``action`` returned."""
+        made = self.calls.where("primitive = 'action'").select(*FILE, F.col("start").alias("init_start"), F.col("end").alias("init_end"))
+        bound = self._root_at(self.f.binding_names.where("array_slot is null").join(made, [*FILE, "init_start", "init_end"]), "start", "end", "b_").select(F.col("b_root").alias("callee_root")).distinct()
+        hit = self.calls.join(bound, "callee_root", "left_semi").select(*FILE, "start", "end", F.col("callee_text").alias("subject"))
+        return self.with_role(hit, "start", "end", ["start", "end"]).select(*FILE, F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "subject", "role")
+
+    @cached_property
+    def target_checks(self) -> DataFrame:
+        """Targets of refresh and affects that are no sources or can't be resolved, and keys given with an accessor."""
+        a = self.args.where(F.col("primitive").isin("refresh", "affects"))
+        first = self._root_at(a.where("pos = 0"), "start", "end", "t_")
+        known = self.sources.select(F.col("root").alias("t_root"), F.lit(True).alias("is_source"), "source")
+        stores = self.calls.where(F.col("primitive").isin("createStore", "createOptimisticStore", "createProjection")).select(*FILE, F.col("start").alias("init_start"), F.col("end").alias("init_end"))
+        store_roots = self._root_at(self.f.binding_names.join(stores, [*FILE, "init_start", "init_end"]), "start", "end", "s_").select(F.col("s_root").alias("t_root"), F.lit(True).alias("is_store")).distinct()
+        keyed = a.where("pos = 1").select(*FILE, "call_start", "call_end", F.lit(True).alias("has_keys"))
+        x = first.join(known, "t_root", "left").join(store_roots, "t_root", "left").join(keyed, [*FILE, "call_start", "call_end"], "left")
+        name = (
+            F.when(F.col("t_root").isNull(), F.concat("primitive", F.lit("-target-unresolved")))
+            .when(F.col("is_source").isNull(), F.concat(F.lit("invalid-"), "primitive", F.lit("-target")))
+            .when((F.col("primitive") == "affects") & F.col("has_keys") & F.col("is_store").isNull(), "affects-keys-on-accessor")
+        )
+        code = F.when(name.endswith("unresolved"), "SC9003").when(name == "affects-keys-on-accessor", "SC7004").otherwise("SC7003")
+        return x.select(*FILE, F.col("call_start").alias("start_byte"), F.col("call_end").alias("end_byte"), code.alias("code"), name.alias("rule"), F.col("primitive").alias("subject")).where("rule is not null")
+
+    @cached_property
+    def optional_violations(self) -> DataFrame:
+        """Reads after an await, and components that take their first parameter apart."""
+        at = [*FILE, F.col("start").alias("start_byte"), F.col("end").alias("end_byte")]
+        out = self.accesses.where("false").select(*at, F.lit("").alias("code"), F.lit("").alias("rule"), F.lit("").alias("subject"))
+        if self.f.after_await is not None:
+            late = reads_after_await(self.accesses.where("source = 'accessor'"), self.f.after_await)
+            out = out.unionByName(late.select(*at, F.lit("SC1002").alias("code"), F.lit("reactive-read-after-await").alias("rule"), F.col("name").alias("subject")))
+        if self.f.params is not None:
+            own = self.nodes.where(text.component_name(F.col("name"))).select(*FILE, F.col("start").alias("fn_start"), F.col("end").alias("fn_end"), F.col("name").alias("subject"))
+            apart = self.f.params.where("pos = 0 and shape = 'object'").join(own, [*FILE, "fn_start", "fn_end"])
+            out = out.unionByName(apart.select(*at, F.lit("SC1003").alias("code"), F.lit("component-props-destructure").alias("rule"), "subject"))
+        return out
+
     @cached_property
     def leaf_operations(self) -> DataFrame:
         """Forbidden operations inside leaf owners: one row per owner around them."""
@@ -362,10 +441,12 @@ class Analysis:
         writes = self.accesses.where("source = 'setter'").select(*at, "role", F.col("name").alias("subject"), F.lit(False).alias("allowed_by_option"))
         static = self.static_api.unionByName(self.conditional_returns.select("*", F.lit("SC1004").alias("code"), F.lit("component-returns-conditionally").alias("rule"), F.lit("").alias("subject")))
         static = static.unionByName(self.uncovered_markup.select("*", F.lit("SC9004").alias("code"), F.lit("execution-map-incomplete").alias("rule"), F.lit("").alias("subject")))
+        static = static.unionByName(self.target_checks).unionByName(self.optional_violations)
         if exports is not None:
             static = static.unionByName(self.contract_violations(exports))
         return {
-            "reads": reads.unionByName(through), "writes": writes, "leaf_operations": self.leaf_operations, "cleanup_returns": self.cleanup_returns, "missing_owners": self.missing_owners,
+            "reads": reads.unionByName(through), "writes": writes, "actions": self.actions, "async_reads": self.async_reads,
+            "leaf_operations": self.leaf_operations, "cleanup_returns": self.cleanup_returns, "missing_owners": self.missing_owners,
             "creations": self.directive_creations, "static_violations": static,
         }
 

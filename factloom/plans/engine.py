@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import paths, text
-from factloom.operators import contracts, feed, fixpoint, hierarchy, rules, spans, tables, versions
+from factloom.operators import analysis, coherence, contracts, feed, fixpoint, hierarchy, nested, retained, rules, spans, tables, versions
 from factloom.plans.records import _CURRENT, _FEED, _PLAIN
 from factloom.plans.tables import table
 from factloom.session import scratch_path
@@ -375,8 +375,8 @@ def callsite_targets(spark, d):
     from factloom.operators.nested import _elements, parse_object
 
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    v = table(spark, d, "file_facts").where("payload is not null").select("record_id", parse_object(F.col("payload")).alias("v")).where("v is not null")
-    calls = v.select("record_id", F.posexplode(_elements(F.try_variant_get("v", "$.calls", "variant"))).alias("pos", "e")).where("e is not null")
+    v = table(spark, d, "file_facts").where("payload is not null").select("record_id", nested.parse_object(F.col("payload")).alias("v")).where("v is not null")
+    calls = v.select("record_id", F.posexplode(nested._elements(F.try_variant_get("v", "$.calls", "variant"))).alias("pos", "e")).where("e is not null")
     a = F.try_variant_get("e", "$.arguments", "array<variant>")
     n = F.when(a.isNotNull(), F.size(a)).when(F.schema_of_variant(F.try_variant_get("e", "$.arguments", "variant")).startswith("OBJECT"), 1).otherwise(0)
     once = calls.select("record_id", "pos", F.try_variant_get("e", "$.target", "string").alias("target"), n.alias("n_args")).distinct()
@@ -582,3 +582,81 @@ def finding_lines(spark, d):
     s = table(spark, d, "source_files").where("source is not null and project_id is not null and path is not null").groupBy("project_id", "path").agg(F.min_by("source", "file_id").alias("source"))
     f = table(spark, d, "findings").select("project_id", F.col("primary_location.path").alias("path"), F.col("primary_location.start_byte").alias("start_byte")).where("project_id is not null and path is not null and start_byte is not null").distinct()
     return sinks.located(f, s.where(F.octet_length("source") == F.length("source"))).where("line_no is not null").select("project_id", "path", "start_byte", "line_no")
+
+
+# further joins and sessions
+
+@query("""select distinct row_id, origin_module = 'solid-js' is true or coalesce(list_bool_or(list_transform(alias_declarations, lambda x: contains(lower(x."location".path), '/node_modules/solid-js/'))), false) typed from entities""")
+def typed_accessors(spark, d):
+    e = table(spark, d, "entities")
+    return e.select("row_id", analysis.typed_accessor(F.col("origin_module"), F.col("alias_declarations")).alias("typed")).distinct()
+
+
+@query(f"""with f as (select project_id, {_PLAIN.format("path")} path, arg_min('sha256:' || sha256(source), file_id) sha256, arg_min(generation, file_id) generation from source_files
+  where project_id is not null and path is not null and source is not null and generation is not null group by 1, 2),
+s as (select project_id, {_PLAIN.format("path")} path, count(*) n, min(sha256) h, min(generation) g from (select distinct project_id, path, sha256, generation from sources where generation % 4 = 1) group by 1, 2)
+select f.project_id, f.path, case when s.n is null then 'digests missing' when s.n > 1 then 'digests repeated' when s.h is distinct from f.sha256 then 'digests hash' when s.g is distinct from f.generation then 'digests generation' end problem
+from f left join s on f.project_id = s.project_id and f.path = s.path""")
+def domain_join(spark, d):
+    """Files against one domain of digests, in the diagnostic mode."""
+    f = table(spark, d, "source_files").where("project_id is not null and path is not null and source is not null and generation is not null")
+    f = f.groupBy("project_id", paths.plain_path(F.col("path")).alias("path")).agg(F.min_by(text.text_hash(F.col("source")), "file_id").alias("sha256"), F.min_by("generation", "file_id").alias("generation"))
+    s = table(spark, d, "sources").where("generation % 4 = 1").select("project_id", "path", "sha256", "generation").distinct().withColumn("path", paths.plain_path(F.col("path"))).withColumn("facts", F.lit(1))
+    return coherence.join_domains(f, {"digests": s}, strict=False).select("project_id", "path", "problem")
+
+
+@query("""with e as (select distinct row_id, project_id, path, start_byte, end_byte, symbol from entities where start_byte <= end_byte),
+f as (select * from e where symbol <> ''),
+j as (select b.row_id, f.symbol, row_number() over (partition by b.row_id order by case when f.start_byte = b.start_byte and f.end_byte = b.end_byte then 0 else 1 end, f.end_byte - f.start_byte, f.row_id) k
+  from e b join f on b.project_id = f.project_id and b.path = f.path and f.start_byte >= b.start_byte and f.end_byte <= b.end_byte)
+select e.row_id, j.symbol found from e left join j on e.row_id = j.row_id and k = 1""")
+def smallest_contained(spark, d):
+    e = table(spark, d, "entities").where("start_byte <= end_byte").select("row_id", "project_id", "path", "start_byte", "end_byte", "symbol").distinct()
+    boxes = e.where("project_id is not null and path is not null").select("row_id", "project_id", "path", F.col("start_byte").alias("i_start"), F.col("end_byte").alias("i_end"))
+    facts = e.where("symbol <> ''").select("project_id", "path", F.col("start_byte").alias("p_start"), F.col("end_byte").alias("p_end"), "symbol", F.col("row_id").alias("o"))
+    nowhere = e.where("project_id is null or path is null").select("row_id", F.lit(None).cast("string").alias("found"))
+    return spans.smallest_contained(boxes, facts, ["project_id", "path"], 512, "symbol", "o").select("row_id", "found").unionByName(nowhere)
+
+
+@query(_NEW)
+def retained_states(spark, d):
+    """Two generations of a retained table; the client goes from nothing to the first and by a delta to the second."""
+    old, new = _generations(spark, d)
+    kept = retained.RetainedTable(scratch_path(spark, "retained"), ["o_orderkey"])
+    kept.update(1, old)
+    first = kept.exchange(None)
+    held = kept.receive(None, first)
+    kept.update(2, new)
+    return kept.receive(held, kept.exchange(first.token))
+
+
+@query("""with recursive i as (select distinct project_id || ':' || id path, project_id || ':' || alias_target target from symbols where alias_target <> ''),
+t as (select distinct project_id || ':' || id path from symbols where id like '%7' union select i.path from i join t on i.target = t.path) select path from t""")
+def affected_files(spark, d):
+    """Everything that refers, over any number of steps, to a symbol whose id ends in 7."""
+    s = table(spark, d, "symbols")
+    full = lambda c: F.concat_ws(":", "project_id", c)
+    imports = s.where("alias_target <> ''").select(full("id").alias("path"), full("alias_target").alias("target")).distinct()
+    return retained.affected_files(s.where("id like '%7'").select(full("id").alias("path")).distinct(), imports, imports.limit(0))
+
+
+@query("""with e as (select distinct row_id, project_id, path, start_byte, end_byte, type_text from entities),
+b as (select * from e where type_text = 'unknown'), r as (select * from e where type_text like 'Accessor%' and project_id is not null and path is not null and start_byte is not null and end_byte is not null)
+select r.row_id, exists (select 1 from b where b.project_id = r.project_id and b.path = r.path and b.start_byte <= r.start_byte and b.end_byte >= r.end_byte and r.start_byte <= r.end_byte) under_loading from r""")
+def under_boundary(spark, d):
+    e = table(spark, d, "entities").select("row_id", "project_id", "path", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), "type_text").distinct()
+    reads = e.where("type_text like 'Accessor%' and project_id is not null and path is not null and start is not null and `end` is not null").drop("type_text")
+    return analysis.under_boundary(reads, e.where("type_text = 'unknown'")).select("row_id", "under_loading")
+
+
+@query("""with a as (select distinct record_id, unnest(range(len(a)))::int pos, unnest(a) e from (select record_id, case json_type(j, '$.calls') when 'ARRAY' then cast(j->'$.calls' as json[]) when 'OBJECT' then [j->'$.calls'] else [] end a
+  from (select record_id, try_cast(payload as json) j from file_facts where payload is not null) where json_type(j) = 'OBJECT')),
+g as (select record_id, pos site, e->>'$.target' target, unnest(range(len(x)))::int pos, unnest(x) v from (select *, case json_type(e, '$.arguments') when 'ARRAY' then cast(e->'$.arguments' as json[]) when 'OBJECT' then [e->'$.arguments'] else [] end x from a where json_type(e) = 'OBJECT'))
+select record_id, site, pos, 'tracked' execution from g where json_type(v) = 'OBJECT' and target is not null and pos = length(target) % 2""")
+def callback_forwarding(spark, d):
+    """Arguments that their call's target runs: matched by target and argument index."""
+    o = nested.file_fact_occurrences(table(spark, d, "file_facts"))
+    calls = o.where("child = 'call'").select("record_id", F.col("pos_1").alias("site"), F.get_json_object("body", "$.target").alias("callee_root"))
+    args = o.where("child = 'call_argument'").select("record_id", F.col("pos_1").alias("site"), F.col("pos_2").alias("pos")).join(calls, ["record_id", "site"])
+    known = calls.where("callee_root is not null").select(F.col("callee_root").alias("root"), (F.length("callee_root") % 2).alias("parameter"), F.lit("tracked").alias("execution")).distinct()
+    return analysis.forwarded(args, known).select("record_id", "site", "pos", "execution")

@@ -17,6 +17,9 @@ SCHEMAS = {
     "regions": f"{AT}, group string, start bigint, `end` bigint, label string",
     "returns": f"{AT}, start bigint, `end` bigint, value string, type_text string, control_tests array<struct<start bigint, `end` bigint>>",
     "imports": f"{AT}, module string, imported string, start bigint",
+    "elements": f"{AT}, start bigint, `end` bigint, name_start bigint, name_end bigint",
+    "after_await": f"{AT}, start bigint, `end` bigint",
+    "params": f"{AT}, fn_start bigint, fn_end bigint, pos int, shape string, start bigint, `end` bigint",
 }
 OPEN, CLOSE = "([{", ")]}"
 
@@ -88,7 +91,7 @@ def facts(spark, files, tracked=(), events=(), directives=(), markup=()):
             start = m.start() + len(m[1] or "")
             rows["functions"].append((p, path, start, close_of(text, body), body, close_of(text, body), m[2], m.start(2), m.end(2), bool(m[1]), False, order))
         for m in re.finditer(r"(async )?\([^()]*\)\s*=>\s*", text):
-            end = close_of(text, m.end()) if text[m.end()] in "{(" else end_of_expression(text, m.end())
+            end = close_of(text, m.end()) if text[m.end()] == "{" else end_of_expression(text, m.end())
             order += 1
             rows["functions"].append((p, path, m.start(), end, m.end(), end, None, None, None, False, bool(m[1]), 1000 + order))
             if text[m.end()] != "{":
@@ -104,6 +107,13 @@ def facts(spark, files, tracked=(), events=(), directives=(), markup=()):
             else:
                 for slot, n in enumerate(re.finditer(r"\w+", m[2])):
                     rows["binding_names"].append((p, path, m.end(), end, n[0], m.start(2) + n.start(), m.start(2) + n.end(), slot))
+        for m in re.finditer(r"<(\w+)[^>]*>[^<]*</\1>", text):
+            rows["elements"].append((p, path, m.start(), m.end(), m.start(1), m.end(1)))
+        for m in re.finditer(r"await (\w+\(\)); (\w+\(\))", text):
+            rows["after_await"].append((p, path, m.start(2), m.end(2)))
+        for f in [r for r in rows["functions"] if r[1] == path]:
+            if m := re.compile(r"[^(]*\((\{[^}]*\})").match(text, f[2], f[4]):
+                rows["params"].append((p, path, f[2], f[3], 0, "object", m.start(1), m.end(1)))
         for group, label, listed in (("trackedRegions", "jsx", tracked), ("callbackRoles", "event-handler", events), ("callbackRoles", "directive-apply", directives), ("jsxOperations", "jsx-expression", markup)):
             for piece in listed:
                 for m in re.finditer(re.escape(piece), text):

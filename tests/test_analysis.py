@@ -81,6 +81,40 @@ def test_reachability_and_summaries(analysis):
     assert m["files"] == 2 and m["open"] >= 1 and m["functions"] > 15
 
 
+MORE = """import { action, affects, createMemo, createStore, createSignal, refresh, onSettled, Loading, Loading as Wait } from "solid-js";
+const late = createMemo(async () => 1);
+const [one, setOne] = createSignal(1);
+const [all, setAll] = createStore({ a: 1 });
+const plain = 3;
+const save = action(() => 2);
+export function Async() { late(); return 1; }
+export function Shown() { return <Loading>{late()}</Loading>; }
+export function Bare() { return { x: late() }; }
+export function Call() { save(); return 1; }
+export function Press() { return on(() => save()); }
+export function Props({ a, b }) { return a; }
+export function Wait2() { const f = async () => { await one(); one(); }; return 1; }
+refresh(one); refresh(plain); refresh(other.x); affects(one, "k"); affects(all, "k");
+onSettled(() => () => 5);
+const orphan = <Loading>x</Loading>;
+"""
+
+
+def test_async_actions_targets_and_boundaries(spark):
+    a = Analysis(mini.facts(spark, {"/m.tsx": MORE}, tracked=["{late()}", "{ x: late() }"], events=["() => save()"]))
+    got = {(r.rule, MORE[r.start_byte : r.end_byte], MORE[: r.start_byte].count("\n")) for r in a.findings().collect()}
+    assert {(r, n) for r, t, n in got if t == "late()"} >= {("pending-async-untracked-read", 6), ("async-outside-loading-boundary", 8)}
+    assert not any(n == 7 and r.startswith(("pending", "async")) for r, _, n in got)
+    assert {(t, n) for r, t, n in got if r == "action-called-in-owned-scope"} == {("save()", 9)}
+    assert ("component-props-destructure", "{ a, b }", 11) in got
+    assert ("reactive-read-after-await", "one()", 12) in got
+    assert {t for r, t, _ in got if r == "invalid-refresh-target"} == {"refresh(plain)"}
+    assert {t for r, t, _ in got if r == "refresh-target-unresolved"} == {"refresh(other.x)"}
+    assert {t for r, t, _ in got if r == "affects-keys-on-accessor"} == {'affects(one, "k")'}
+    assert {t for r, t, _ in got if r == "settled-cleanup-unowned"} == {"onSettled(() => () => 5)"}
+    assert {n for r, _, n in got if r == "no-owner-boundary"} == {15}
+
+
 def test_small_joins(spark, analysis):
     args = spark.createDataFrame([("r", 0, 1), ("r", 1, 2), ("q", 0, 3)], "callee_root string, pos int, call int")
     s = spark.createDataFrame([("r", 1, "tracked")], "root string, parameter int, execution string")
