@@ -140,10 +140,28 @@ class Analysis:
         return self._kept("nodes", n)
 
     @cached_property
-    def by_root(self) -> DataFrame:
-        """One node per symbol root: the last in order."""
+    def named_nodes(self) -> DataFrame:
+        """One node per root of a function's own name: the last in order."""
         return self.nodes.where("fn_root is not null").groupBy("fn_root").agg(F.max_by("node", "ord").alias("target"))
 
+    @cached_property
+    def returned_nodes(self) -> DataFrame:
+        """(maker, returned): functions that a function returns."""
+        own = self.nodes.select(*FILE, F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("node").alias("returned"))
+        given = self.f.returns.where(F.col("value").isin(*FUNCTION_VALUES)).select(*FILE, F.col("start").alias("p_start"), F.col("end").alias("p_end")).distinct()
+        pairs = spans.containing(own.join(given, [*FILE, "p_start", "p_end"]), _intervals(self.nodes, "start", "end", {"node": "maker", "ord": "i_ord"}), FILE, SLOT)
+        pairs = pairs.where("maker <> returned").withColumn("size", F.col("i_end") - F.col("i_start"))
+        return pairs.groupBy("returned").agg(F.min_by("maker", F.struct("size", "i_ord")).alias("maker"))
+
+    @cached_property
+    def by_root(self) -> DataFrame:
+        """One node per symbol root: the function of that name, else the function returned by the call that the variable is set to."""
+        made = self.calls.join(self.named_nodes, F.col("callee_root") == F.col("fn_root")).select(*FILE, F.col("start").alias("init_start"), F.col("end").alias("init_end"), F.col("target").alias("maker"))
+        held = self.f.binding_names.where("array_slot is null").join(made, [*FILE, "init_start", "init_end"]).join(self.returned_nodes, "maker")
+        bound = self._root_at(held, "start", "end", "h_").where("h_root is not null").groupBy(F.col("h_root").alias("fn_root")).agg(F.max("returned").alias("target"))
+        rest = bound.join(self.named_nodes.select("fn_root"), "fn_root", "left_anti")
+        return self._kept("by_root", self.named_nodes.unionByName(rest))
+
     def enclosing(self, df: DataFrame, start: str, end: str, ids: list[str]) -> DataFrame:
         """Adds the innermost function around a span as ``owner`` (null at module level)."""
         pairs = spans.containing(_points(df, start, end, ids), _intervals(self.nodes, "start", "end", {"node": "i_node", "ord": "i_ord"}), FILE, SLOT)
@@ -547,3 +565,20 @@ def calls_after_await(flow: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["fn", "call"])
 
     return flow.select("fn", "events").mapInPandas(run, "fn string, call bigint")
+
+
+def context_label(role: Column, function_name: Column) -> Column:
+    """Where a finding stands, in words."""
+    return F.concat_ws(" in ", role, F.coalesce(function_name, F.lit("module")))
+
+
+def terminal_cleanup_fixes(calls: DataFrame) -> DataFrame:
+    """Edits that turn a cleanup call at the end of its callback into a returned function.
+
+    ``calls`` has project_id, path, source, start, end, arg_start, arg_end and body_end (before the closing brace); only calls
+    with nothing but blanks and semicolons after them get a fix.
+    """
+    tail = text.byte_slice(F.col("source"), F.col("end"), F.col("body_end"))
+    ends = calls.where(tail.rlike(r"^[\s;]*$"))
+    edit = lambda a, b, t: F.struct(F.col(a).alias("start"), F.col(b).alias("end"), F.lit(t).alias("new_text"))
+    return ends.select("project_id", "path", "start", F.array(edit("start", "arg_start", "return "), edit("arg_end", "end", "")).alias("edits"))

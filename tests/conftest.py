@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from factloom.session import build_session
 
-    return build_session("local[4]", partitions=4)
+    return build_session("local[4]", partitions=2)
 
 
 @pytest.fixture(scope="session")

@@ -20,6 +20,9 @@ export function maybe() { onCleanup(() => { log(3); }); }
 createEffect(() => 4);
 onSettled(() => { createMemo(() => 5); flush(); return 6; });
 export function Test() { if (count()) return 7; return 8; }
+export function make() { return () => count(); }
+const get = make();
+export function Kept() { const z = get(); return z; }
 export function Dir() { createMemo(async () => 9, { sync: true }); return bind(() => { createSignal(10); }); }
 """
 
@@ -49,7 +52,7 @@ def test_findings(spark, analysis):
     assert ("strict-read-untracked", "other(3)") in got  # through a recursive helper
     reads = [r for r in analysis.findings().collect() if r.rule == "strict-read-untracked"]
     lines = sorted(APP[: r.start_byte].count("\n") for r in reads)
-    assert lines == [5, 6, 13]  # Bad, Through, Test; Good is tracked, Press an event, effects track, helpers count at calls
+    assert lines == [5, 6, 13, 16]  # Bad, Through, Test, Kept (through a returned closure); Good is tracked, Press an event, effects track, helpers count at calls
     assert {t for r, t in got if r == "reactive-write-in-owned-scope"} == {"setCount(2)", "setCount(3)"}
     assert {t for r, t in got if r == "no-owner-effect"} == {"createEffect(() => 4)"}
     assert {t for r, t in got if r == "no-owner-cleanup"} == {"onCleanup(() => { log(3); })"}

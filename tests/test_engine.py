@@ -173,6 +173,11 @@ def test_fixes_and_flow(spark):
     from pyspark.sql import functions as F
 
     assert [r.x for r in ent.select(analysis.typed_accessor(F.col("origin_module"), F.col("alias_declarations")).alias("x")).collect()] == [True, True, False, False]
+    src = "f(() => { a(); onCleanup(g); });"
+    call = spark.createDataFrame([("p", "a", src, 15, 27, 25, 26, 29), ("p", "a", src, 10, 13, 12, 12, 29)], "project_id string, path string, source string, start int, end int, arg_start int, arg_end int, body_end int")
+    fixed = analysis.terminal_cleanup_fixes(call).withColumn("source", F.lit(src)).select(text.apply_edits(F.col("source"), F.col("edits")).alias("x")).collect()
+    assert [r.x for r in fixed] == ["f(() => { a(); return g; });"]
+    assert spark.range(1).select(analysis.context_label(F.lit("event"), F.lit(None)).alias("x")).first().x == "event in module"
     assert analysis.namespace_members(spark.createDataFrame([("p", "s")], "project_id string, symbol string"), ["a", "b"]).count() == 2
 
 
