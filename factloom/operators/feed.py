@@ -100,7 +100,7 @@ class BucketedTable:
         number, parts = self.manifest()
         changes = decisive_changes(feed).withColumn("bucket", self._bucket())
         routed = f"{self.root}/routed/{number + 1}"
-        changes.write.mode("overwrite").partitionBy("bucket").parquet(routed)
+        changes.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(routed)  # one file per bucket
         statuses = self._fs.listStatus(self._path(routed))
         touched = sorted(int(s.getPath().getName()[7:]) for s in statuses if s.getPath().getName().startswith("bucket="))
         if touched:
