@@ -363,9 +363,16 @@ def percentile_floor(spark, d):
 
 @query("select l_orderkey, l_linenumber, unnest(range(1, 1 + least(l_quantity, 5)::int))::int copy from lineitem where l_quantity > 0")
 def multiplicity_expand(spark, d):
+    """At most five copies of each line, as its SQL has it; all copies: multiplicity_expand_whole."""
     return table(spark, d, "lineitem").where("l_quantity > 0").select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1), F.least("l_quantity", F.lit(5)).cast("int"))).alias("copy"))
 
 
+@query("select l_orderkey, l_linenumber, unnest(range(1, 1 + floor(l_quantity)::int))::int copy from lineitem where l_quantity >= 1")
+def multiplicity_expand_whole(spark, d):
+    """Every line once per unit of its quantity, without a bound; a null quantity or one below 1 gives no row."""
+    return table(spark, d, "lineitem").where("l_quantity >= 1").select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1), F.floor("l_quantity").cast("int"))).alias("copy"))
+
+
 @query("""with a as (select distinct record_id, unnest(range(len(a)))::int pos, unnest(a) e from (select record_id, case json_type(j, '$.calls') when 'ARRAY' then cast(j->'$.calls' as json[]) when 'OBJECT' then [j->'$.calls'] else [] end a
   from (select record_id, try_cast(payload as json) j from file_facts where payload is not null) where json_type(j) = 'OBJECT')),
 c as (select record_id, pos, e->>'$.target' target, case json_type(e, '$.arguments') when 'ARRAY' then json_array_length(e, '$.arguments') when 'OBJECT' then 1 else 0 end n_args from a where json_type(e) = 'OBJECT')
