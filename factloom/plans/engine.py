@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import paths, text
@@ -605,13 +605,42 @@ s as (select project_id, {_PLAIN.format("path")} path, count(*) n, min(sha256) h
 select f.project_id, f.path, case when s.n is null then 'digests missing' when s.n > 1 then 'digests repeated' when s.h is distinct from f.sha256 then 'digests hash' when s.g is distinct from f.generation then 'digests generation' end problem
 from f left join s on f.project_id = s.project_id and f.path = s.path""")
 def domain_join(spark, d):
-    """Files against one domain of digests, in the diagnostic mode."""
+    """Files against one domain of digests, in the diagnostic mode. A sample of generations, as its SQL has it; all: domain_join_whole."""
     f = table(spark, d, "source_files").where("project_id is not null and path is not null and source is not null and generation is not null")
     f = f.groupBy("project_id", paths.plain_path(F.col("path")).alias("path")).agg(F.min_by(text.text_hash(F.col("source")), "file_id").alias("sha256"), F.min_by("generation", "file_id").alias("generation"))
     s = table(spark, d, "sources").where("generation % 4 = 1").select("project_id", "path", "sha256", "generation").distinct().withColumn("path", paths.plain_path(F.col("path"))).withColumn("facts", F.lit(1))
     return coherence.join_domains(f, {"digests": s}, strict=False).select("project_id", "path", "problem")
 
 
+@query(f"""with f as (select project_id, path, x.h sha256, x.g generation from (select project_id, {_PLAIN.format("path")} path, arg_min({{'h': 'sha256:' || sha256(source), 'g': generation}}, file_id) x from source_files
+  where project_id is not null and path is not null and source is not null group by 1, 2)),
+s as (select project_id, {_PLAIN.format("path")} path, 'sha256:' || regexp_replace(lower(trim(sha256)), '^sha256:', '') sha256, generation, delivered_at from sources),
+j as (select f.project_id, f.path, s.sha256, s.generation, rank() over (partition by f.project_id, f.path
+  order by case when s.generation = f.generation then 0 else 1 end, case when s.generation >= 1 then s.generation end desc nulls last, s.delivered_at desc nulls last) k
+  from f join s on f.project_id = s.project_id and f.path = s.path),
+a as (select project_id, path, count(*) n, min(sha256) h, min(generation) g from (select distinct project_id, path, sha256, generation from j where k = 1) group by 1, 2)
+select f.project_id, f.path, case when a.n is null then 'digests missing' when a.n > 1 then 'digests repeated' when a.h is distinct from f.sha256 then 'digests hash' when a.g is distinct from f.generation then 'digests generation' end problem
+from f left join a on f.project_id = a.project_id and f.path = a.path""")
+def domain_join_whole(spark, d):
+    """Files against the digests of every generation, in the diagnostic mode.
+
+    A file is judged by its own generation; where its path was not delivered in that, by the latest one it was delivered in, and
+    by rows without a usable generation only if there are no others. Within a generation the last delivery counts, a null
+    delivered_at is the earliest, and different digests delivered at once are repeated. Digests are compared whatever their
+    spelling; a null one equals none. A file without a generation is judged by the latest.
+    """
+    f = table(spark, d, "source_files").where("project_id is not null and path is not null and source is not null")
+    f = f.groupBy("project_id", paths.plain_path(F.col("path")).alias("path")).agg(F.min_by(F.struct(text.text_hash(F.col("source")).alias("sha256"), "generation"), "file_id").alias("x"))
+    f = f.select("project_id", "path", "x.sha256", "x.generation")
+    digest = F.concat(F.lit("sha256:"), F.regexp_replace(F.lower(F.trim("sha256")), "^sha256:", ""))
+    s = table(spark, d, "sources").select("project_id", paths.plain_path(F.col("path")).alias("path"), digest.alias("sha256"), "generation", "delivered_at")
+    own = F.when(F.col("generation") == F.col("of"), 0).otherwise(1)
+    best = Window.partitionBy("project_id", "path").orderBy(own, F.when(F.col("generation") >= 1, F.col("generation")).desc_nulls_last(), F.col("delivered_at").desc_nulls_last())
+    s = s.join(f.select("project_id", "path", F.col("generation").alias("of")), ["project_id", "path"]).withColumn("k", F.rank().over(best)).where("k = 1")
+    s = s.select("project_id", "path", "sha256", "generation").distinct().withColumn("facts", F.lit(1))
+    return coherence.join_domains(f, {"digests": s}, strict=False).select("project_id", "path", "problem")
+
+
 @query("""with e as (select distinct row_id, project_id, path, start_byte, end_byte, symbol from entities where start_byte <= end_byte),
 f as (select * from e where symbol <> ''),
 j as (select b.row_id, f.symbol, row_number() over (partition by b.row_id order by case when f.start_byte = b.start_byte and f.end_byte = b.end_byte then 0 else 1 end, f.end_byte - f.start_byte, f.row_id) k

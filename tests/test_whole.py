@@ -1,5 +1,10 @@
 """Queries that do the whole of a job of which another one does a sample."""
 
+import datetime
+import hashlib
+
+from compare import differences
+
 from factloom.plans import engine
 
 
@@ -12,3 +17,18 @@ def test_multiplicity_has_no_bound(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     want = sorted([(o, n, c) for o, n, q in lines for c in range(1, int(q or 0) + 1)], key=repr)
     assert rows(engine.QUERIES["multiplicity_expand_whole"](spark, str(tmp_path))) == want
+
+
+def test_domain_join_sees_every_generation(spark, tmp_path):
+    h = lambda s: "sha256:" + hashlib.sha256(s.encode()).hexdigest()
+    files = [(1, "p", "/a", "a", 2), (2, "p", "/b", "b", 3), (3, "p", "/c", "c", 5), (4, "p", "/d", "d", 2), (5, "p", "/e", "e", 2), (6, "p", "/f", "f", None), (7, "p", "/g", "g", 4), (8, "p", "/h", "h", 2)]
+    spark.createDataFrame(files, "file_id bigint, project_id string, path string, source string, generation bigint").write.parquet(str(tmp_path / "source_files.parquet"))
+    early, late = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
+    sources = [
+        ("p", 2, "/a", h("a").upper(), early), ("p", 5, "/a", h("x"), late), ("p", 3, "//b", h("old"), early), ("p", 3, "/b", h("b"), late), ("p", 4, "/c", h("c"), early), ("p", 1, "/c", h("x"), late),
+        ("p", 2, "/d", h("x"), late), ("p", 2, "/d", h("d"), None), ("p", 2, "/e", h("e"), early), ("p", 2, "/e", h("x"), early), ("p", 6, "/f", h("f"), early), ("p", None, "/g", h("g"), early),
+    ]
+    spark.createDataFrame(sources, "project_id string, generation bigint, path string, sha256 string, delivered_at timestamp_ntz").write.parquet(str(tmp_path / "sources.parquet"))
+    got = {r.path: r.problem for r in engine.QUERIES["domain_join_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"/a": None, "/b": None, "/c": "digests generation", "/d": "digests hash", "/e": "digests repeated", "/f": "digests generation", "/g": "digests generation", "/h": "digests missing"}
+    assert differences(spark, str(tmp_path), "domain_join_whole", engine.QUERIES["domain_join_whole"], engine.SQL["domain_join_whole"]) == ""
