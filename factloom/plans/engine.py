@@ -585,12 +585,33 @@ f as (select distinct project_id, primary_location.path path, primary_location.s
 select f.project_id, f.path, f.b as start_byte, (1 + length(t) - length(replace(t, chr(10), '')))::bigint line_no from
 (select f.*, decode(from_hex(left(hex(encode(source)), 2 * least(b, octet_length(encode(source)))::int))) t from f join s using (project_id, path) where regexp_full_match(source, '[\\x00-\\x7f]*')) f""")
 def finding_lines(spark, d):
-    """Lines of findings in their files (files in plain ASCII, so that the other side can cut bytes)."""
+    """Lines of findings in their files (files in plain ASCII, so that the other side can cut bytes); all files: finding_lines_whole."""
     s = table(spark, d, "source_files").where("source is not null and project_id is not null and path is not null").groupBy("project_id", "path").agg(F.min_by("source", "file_id").alias("source"))
     f = table(spark, d, "findings").select("project_id", F.col("primary_location.path").alias("path"), F.col("primary_location.start_byte").alias("start_byte")).where("project_id is not null and path is not null and start_byte is not null").distinct()
     return sinks.located(f, s.where(F.octet_length("source") == F.length("source"))).where("line_no is not null").select("project_id", "path", "start_byte", "line_no")
 
 
+@query(f"""with s as (select project_id, {_PLAIN.format("path")} path, arg_min(source, file_id) source from source_files where source is not null and project_id is not null and path is not null group by 1, 2),
+f as (select distinct project_id, {_PLAIN.format("primary_location.path")} path, primary_location.start_byte b from findings where primary_location.path is not null and primary_location.start_byte is not null and project_id is not null),
+x as (select f.*, source, hex(encode(source)) h from f left join s on f.project_id = s.project_id and f.path = s.path),
+y as (select *, greatest(0, least(b, length(h) // 2)) at_ from x),
+z as (select *, case when at_ < length(h) // 2 then (select min(k) from range(4) t(k) where h[2 * (at_ - k) + 1:2 * (at_ - k) + 1] not in ('8', '9', 'A', 'B')) else 0 end back from y),
+w as (select *, decode(from_hex(left(h, 2 * (at_ - back)::int))) t from z)
+select project_id, path, b as start_byte, (1 + length(t) - length(replace(t, chr(10), '')))::bigint line_no,
+(1 + length(string_split(t, chr(10))[-1]) + length(regexp_replace(string_split(t, chr(10))[-1], '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))::bigint col_no from w""")
+def finding_lines_whole(spark, d):
+    """Line and UTF-16 column of every position of a finding, in files with any characters; nulls where the file is unknown.
+
+    Paths are met whatever their spelling; of several texts of a file the one with the lowest file_id counts. An offset
+    past the end counts as the end, one inside a character as the character's first byte.
+    """
+    s = table(spark, d, "source_files").where("source is not null and project_id is not null and path is not null")
+    s = s.groupBy("project_id", paths.plain_path(F.col("path")).alias("path")).agg(F.min_by("source", "file_id").alias("source"))
+    f = table(spark, d, "findings").where("project_id is not null and primary_location.path is not null and primary_location.start_byte is not null")
+    f = f.select("project_id", paths.plain_path(F.col("primary_location.path")).alias("path"), F.col("primary_location.start_byte").alias("start_byte")).distinct()
+    return sinks.located(f, s)
+
+
 # further joins and sessions
 
 @query("""select distinct row_id, origin_module = 'solid-js' is true or coalesce(list_bool_or(list_transform(alias_declarations, lambda x: contains(lower(x."location".path), '/node_modules/solid-js/'))), false) typed from entities""")

@@ -32,3 +32,27 @@ def test_domain_join_sees_every_generation(spark, tmp_path):
     got = {r.path: r.problem for r in engine.QUERIES["domain_join_whole"](spark, str(tmp_path)).collect()}
     assert got == {"/a": None, "/b": None, "/c": "digests generation", "/d": "digests hash", "/e": "digests repeated", "/f": "digests generation", "/g": "digests generation", "/h": "digests missing"}
     assert differences(spark, str(tmp_path), "domain_join_whole", engine.QUERIES["domain_join_whole"], engine.SQL["domain_join_whole"]) == ""
+
+
+def place(t, offset):
+    """Line and UTF-16 column by brute force."""
+    raw = t.encode()
+    at = max(0, min(offset, len(raw)))
+    while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    before = raw[:at].decode()
+    return before.count("\n") + 1, len(before.rsplit("\n", 1)[-1].encode("utf-16-le")) // 2 + 1
+
+
+TEXTS = ["aé日😀\nz\n\nÄ😀b\r\nlast", "plain\nlines\n", "日本\n" * 40 + "😀", "", "\n"]
+
+
+def test_findings_are_located_in_all_files(spark, tmp_path):
+    files = [(k, "p", f"/d//f{k}", t) for k, t in enumerate(TEXTS)]
+    spark.createDataFrame(files, "file_id bigint, project_id string, path string, source string").write.parquet(str(tmp_path / "source_files.parquet"))
+    at = [(f"/d/f{k}", b) for k, t in enumerate(TEXTS) for b in range(len(t.encode()) + 3)]
+    found = [("p", (path, b)) for path, b in [*at, *at[:5], ("/none", 3)]] + [("p", None)]
+    spark.createDataFrame(found, "project_id string, primary_location struct<path string, start_byte bigint>").write.parquet(str(tmp_path / "findings.parquet"))
+    want = [("p", path, b, *place(TEXTS[int(path[-1])], b)) for path, b in at] + [("p", "/none", 3, None, None)]
+    assert rows(engine.QUERIES["finding_lines_whole"](spark, str(tmp_path))) == sorted(want, key=repr)
+    assert differences(spark, str(tmp_path), "finding_lines_whole", engine.QUERIES["finding_lines_whole"], engine.SQL["finding_lines_whole"]) == ""
