@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import paths, text
@@ -487,7 +487,7 @@ def stream_files(spark, d):
 
 @query()
 def byte_slice(spark, d):
-    """Bytes 3 to 12 of each text; null where the text is shorter or a character would be split."""
+    """Bytes 3 to 12 of each text; null where the text is shorter or a character would be split. Whole texts: byte_slices."""
     return table(spark, d, "documents").select("doc_id", text.byte_slice(F.col("text"), F.lit(3), F.lit(12)).alias("slice"))
 
 
@@ -505,7 +505,7 @@ def text_hash(spark, d):
 select doc_id, (1 + length(left(text, n)) - length(replace(left(text, n), chr(10), '')))::bigint line_no,
 (1 + list_sum(list_transform(string_split(string_split(left(text, n), chr(10))[-1], ''), lambda c: case when c = '' then 0 when unicode(c) > 65535 then 2 else 1 end)))::bigint col_no from p where n > 0""")
 def line_col(spark, d):
-    """1-based line and UTF-16 column of the byte offset of the twenty-first character."""
+    """1-based line and UTF-16 column of the byte offset of the twenty-first character. Whole texts: line_cols."""
     t = table(spark, d, "documents").where("text is not null and text <> ''")
     offset = F.octet_length(F.substring("text", 1, 20))
     return t.select("doc_id", text.line_number(F.col("text"), offset).alias("line_no"), text.utf16_column(F.col("text"), offset).alias("col_no"))
@@ -513,12 +513,64 @@ def line_col(spark, d):
 
 @query("""select doc_id, '<' || left(text, 1) || '>' || substr(text, 4) as edited from documents where length(text) >= 6 and octet_length(encode(left(text, 3))) = 3""")
 def apply_edits(spark, d):
-    """Two edits: brackets around the first character, the second and third deleted."""
+    """Two edits: brackets around the first character, the second and third deleted. Whole texts: line_edits."""
     t = table(spark, d, "documents").where("length(text) >= 6 and octet_length(substring(text, 1, 3)) = 3")
     edit = lambda a, b, s: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(s).alias("new_text"))
     return t.select("doc_id", text.apply_edits(F.col("text"), F.array(edit(0, 0, "<"), edit(1, 3, ">"))).alias("edited"))
 
 
+def _line_starts(t: Column) -> Column:
+    """Byte offsets of the starts of a text's lines; the empty text has one line."""
+    last = F.size(F.split(t, "\n")) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.when(k == 0, 0).otherwise(F.octet_length(F.call_function("substring_index", t, F.lit("\n"), k)) + 1))
+
+
+_TEXT_LINES = """l as (select doc_id, text, string_split(text, chr(10)) a from documents where text is not null),
+st as (select doc_id, text, a, list_transform(range(len(a)), lambda k: coalesce(list_sum(list_transform(a[1:k], lambda x: octet_length(encode(x)) + 1)), 0)::int) starts, octet_length(encode(text))::int size from l)
+"""
+
+
+@query(f"""with {_TEXT_LINES},
+o as (select doc_id, unnest(list_distinct(list_concat(starts, [size // 2, size, size + 1]))) at_offset from st),
+x as (select doc_id, at_offset, hex(encode(text)) h, least(at_offset, size) b, size from o join st using (doc_id)),
+y as (select *, case when b < size then (select min(k) from range(4) t(k) where h[2 * (b - k) + 1:2 * (b - k) + 1] not in ('8', '9', 'A', 'B')) else 0 end back from x),
+w as (select *, decode(from_hex(left(h, 2 * (b - back)::int))) t from y)
+select doc_id, at_offset, (1 + length(t) - length(replace(t, chr(10), '')))::bigint line_no,
+(1 + length(string_split(t, chr(10))[-1]) + length(regexp_replace(string_split(t, chr(10))[-1], '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))::bigint col_no from w""")
+def line_cols(spark, d):
+    """1-based line and UTF-16 column of every line start, the middle, the end and past the end of every text; null texts have no offsets."""
+    size = F.octet_length("text")
+    offsets = F.array_distinct(F.concat(_line_starts(F.col("text")), F.array(F.floor(size / 2).cast("int"), size, size + 1)))
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.explode(offsets).alias("at_offset"))
+    return t.select("doc_id", "at_offset", text.line_number(F.col("text"), F.col("at_offset")).alias("line_no"), text.utf16_column(F.col("text"), F.col("at_offset")).alias("col_no"))
+
+
+@query(f"""with {_TEXT_LINES},
+o as (select doc_id, unnest(list_distinct(list_concat(list_transform(a, lambda x, k: {{'s': starts[k], 'e': (starts[k] + octet_length(encode(x)))::int}}),
+  [{{'s': size // 2, 'e': size // 2 + 9}}, {{'s': 0, 'e': size}}, {{'s': size, 'e': size + 1}}]))) p from st),
+x as (select doc_id, p.s start_byte, p.e end_byte, hex(encode(text)) h, size from o join st using (doc_id))
+select doc_id, start_byte, end_byte, case when end_byte <= size and h[2 * start_byte + 1:2 * start_byte + 1] not in ('8', '9', 'A', 'B') and h[2 * end_byte + 1:2 * end_byte + 1] not in ('8', '9', 'A', 'B')
+then decode(from_hex(h[2 * start_byte + 1:2 * end_byte])) end slice from x""")
+def byte_slices(spark, d):
+    """Every line, nine bytes from the middle, the whole and one byte past the end of every text, cut by byte offsets; null outside or where a character would be split."""
+    size, middle = F.octet_length("text"), F.floor(F.octet_length("text") / 2).cast("int")
+    span = lambda a, b: F.struct(a.alias("start_byte"), b.alias("end_byte"))
+    lines = F.zip_with(_line_starts(F.col("text")), F.split("text", "\n"), lambda a, x: span(a, a + F.octet_length(x)))
+    spans = F.array_distinct(F.concat(lines, F.array(span(middle, middle + 9), span(F.lit(0), size), span(size, size + 1))))
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.explode(spans).alias("p")).select("doc_id", "text", "p.*")
+    return t.select("doc_id", "start_byte", "end_byte", text.byte_slice(F.col("text"), F.col("start_byte"), F.col("end_byte")).alias("slice"))
+
+
+@query("""select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, k: '<' || (k - 1) || '>' || substr(x, length(x) // 2 + 1)), chr(10)) edited from documents""")
+def line_edits(spark, d):
+    """In every line of every text the first half of the characters is replaced by the line's number; a null text stays null."""
+    t = F.col("text")
+    half = lambda x: F.octet_length(F.substring(x, F.lit(1), F.floor(F.length(x) / 2).cast("int")))
+    lines = F.zip_with(_line_starts(t), F.split(t, "\n"), lambda a, x: F.struct(a.alias("start"), (a + half(x)).alias("end")))
+    edits = F.transform(lines, lambda e, k: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.concat(F.lit("<"), k.cast("string"), F.lit(">")).alias("new_text")))
+    return table(spark, d, "documents").select("doc_id", text.apply_edits(t, edits).alias("edited"))
+
+
 @query(f"select distinct path, {_PLAIN.format('path')} plain, lower(nullif(regexp_extract(path, '[^/\\\\](\\.[^./\\\\]+)$', 1), '')) ext from sources where path is not null")
 def plain_paths(spark, d):
     s = table(spark, d, "sources").where("path is not null").select("path").distinct()

@@ -56,3 +56,25 @@ def test_findings_are_located_in_all_files(spark, tmp_path):
     want = [("p", path, b, *place(TEXTS[int(path[-1])], b)) for path, b in at] + [("p", "/none", 3, None, None)]
     assert rows(engine.QUERIES["finding_lines_whole"](spark, str(tmp_path))) == sorted(want, key=repr)
     assert differences(spark, str(tmp_path), "finding_lines_whole", engine.QUERIES["finding_lines_whole"], engine.SQL["finding_lines_whole"]) == ""
+
+
+def test_byte_functions_over_whole_texts(spark, tmp_path):
+    docs = list(enumerate([*TEXTS, None]))
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    places, slices, edited = set(), set(), []
+    for k, t in docs:
+        if t is None:
+            edited.append((k, None))
+            continue
+        raw, starts = t.encode(), [0]
+        for line in t.split("\n")[:-1]:
+            starts.append(starts[-1] + len(line.encode()) + 1)
+        n = len(raw)
+        places |= {(k, b, *place(t, b)) for b in [*starts, n // 2, n, n + 1]}
+        for a, b in [*((s, s + len(x.encode())) for s, x in zip(starts, t.split("\n"))), (n // 2, n // 2 + 9), (0, n), (n, n + 1)]:
+            cut = b > n or any(i < n and raw[i] & 0xC0 == 0x80 for i in (a, b))
+            slices.add((k, a, b, None if cut else raw[a:b].decode()))
+        edited.append((k, "\n".join(f"<{i}>{x[len(x) // 2 :]}" for i, x in enumerate(t.split("\n")))))
+    for name, want in {"line_cols": places, "byte_slices": slices, "line_edits": edited}.items():
+        assert rows(engine.QUERIES[name](spark, str(tmp_path))) == sorted(want, key=repr), name
+        assert differences(spark, str(tmp_path), name, engine.QUERIES[name], engine.SQL[name]) == "", name
