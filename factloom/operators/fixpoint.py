@@ -19,6 +19,12 @@ def _write(df: DataFrame, path: str, measure: F.Column) -> int:
     return seen.get["n"]
 
 
+def _bounded(r: int, most_rounds: int | None) -> None:
+    """Fails where a bound is given and met: an unfinished closure is no result."""
+    if most_rounds is not None and r >= most_rounds:
+        raise RuntimeError(f"rows are still new after {r} rounds")
+
+
 def roots_by_doubling(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root, hops) for each child of ``edges`` (child, parent; child unique), by pointer doubling.
 
@@ -47,15 +53,19 @@ def roots_by_doubling(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return done.select("node", F.when(~F.col("moved"), F.col("up")).alias("root"), F.when(~F.col("moved"), F.col("hops")).alias("hops"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """All (node, tag) reachable from ``seeds`` (node, tag) along ``edges`` (src, dst): a semi-naive closure."""
+def spread(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """All (node, tag) reachable from ``seeds`` (node, tag) along ``edges`` (src, dst): a semi-naive closure.
+
+    Goes on until nothing is new; fails if ``most_rounds`` is given and rows are still new after them.
+    """
     spark, folder = seeds.sparkSession, scratch_path(seeds.sparkSession, "spread")
     edges.select("src", "dst").distinct().write.parquet(f"{folder}/edges")
     steps = spark.read.parquet(f"{folder}/edges")
     schema = seeds.select("node", "tag").schema
     new = _write(seeds.select("node", "tag").distinct(), f"{folder}/known/r=0", F.count(F.lit(1)))
     r = 0
-    while new and r < most_rounds:
+    while new:
+        _bounded(r, most_rounds)
         known = spark.read.schema(schema).parquet(*[f"{folder}/known/r={k}" for k in range(r + 1)])
         front = spark.read.schema(schema).parquet(f"{folder}/known/r={r}")
         reached = front.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "tag").distinct()
@@ -84,19 +94,20 @@ def path_counts(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return every.groupBy("root", "node").agg(F.sum("n").alias("n_paths"))
 
 
-def lattice(seeds: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def lattice(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, context): the least fixpoint of bit sets along labelled edges.
 
     ``seeds`` has node and context; ``edges`` has src, dst and sets: null to pass the source's context
     on, else the bits to give. An edge fires only from a source with a context. Only nodes whose
-    context grew fire again.
+    context grew fire again. Goes on until none grows; fails if ``most_rounds`` is given and some still do after them.
     """
     spark, folder = seeds.sparkSession, scratch_path(seeds.sparkSession, "lattice")
     edges.select("src", "dst", F.col("sets").cast("int").alias("sets")).write.parquet(f"{folder}/edges")
     steps = spark.read.parquet(f"{folder}/edges")
     start = seeds.groupBy("node").agg(F.bit_or(F.col("context").cast("int")).alias("context")).where("context <> 0").withColumn("grew", F.lit(True))
     new, r = _write(start, f"{folder}/0", F.count(F.lit(1))), 0
-    while new and r < most_rounds:
+    while new:
+        _bounded(r, most_rounds)
         now = spark.read.parquet(f"{folder}/{r}")
         sent = now.where("grew").join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.coalesce("sets", "context").alias("got"))
         sent = sent.groupBy("node").agg(F.bit_or("got").alias("got"))

@@ -2,9 +2,12 @@
 
 import datetime
 import hashlib
+import inspect
 
+import pytest
 from compare import differences
 
+from factloom.operators import fixpoint
 from factloom.plans import engine
 
 
@@ -78,3 +81,15 @@ def test_byte_functions_over_whole_texts(spark, tmp_path):
     for name, want in {"line_cols": places, "byte_slices": slices, "line_edits": edited}.items():
         assert rows(engine.QUERIES[name](spark, str(tmp_path))) == sorted(want, key=repr), name
         assert differences(spark, str(tmp_path), name, engine.QUERIES[name], engine.SQL[name]) == "", name
+
+
+def test_closures_end_or_fail(spark):
+    chain = spark.createDataFrame([(k, k + 1, None) for k in range(6)], "src bigint, dst bigint, sets int")
+    start = spark.createDataFrame([(0, 1)], "node bigint, tag int")
+    lattice = lambda n: fixpoint.lattice(start.withColumnRenamed("tag", "context"), chain, **n)
+    for closure in (lambda n: fixpoint.spread(start, chain, **n), lattice):
+        assert rows(closure({})) == rows(closure({"most_rounds": 7})) == [(k, 1) for k in range(7)]
+        with pytest.raises(RuntimeError):
+            closure({"most_rounds": 5})
+    for f in (fixpoint.spread, fixpoint.lattice):
+        assert inspect.signature(f).parameters["most_rounds"].default is None
