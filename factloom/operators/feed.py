@@ -36,8 +36,11 @@ def decisive_changes(feed: DataFrame) -> DataFrame:
     order of change_id. So the highest version stands, and of several changes with that
     version the first to arrive. This is a maximum, so it needs no order, is combined
     before the shuffle and stays right for repeated rows and hot keys. Null deleted is
-    false, null source an empty file; rows without version or path are not applied.
+    false, null source an empty file; rows without version or path are not applied. A
+    null change_id arrives after all others; of several such changes with that version
+    one stands by the hash of its content, the same in every run.
     """
+    unplaced = F.when(F.col("change_id").isNull(), F.xxhash64("deleted", "source"))
     return (
         feed.select(
             F.coalesce("project_id", F.lit("")).alias("project_id"),
@@ -49,7 +52,7 @@ def decisive_changes(feed: DataFrame) -> DataFrame:
         )
         .where("version is not null and path is not null")
         .groupBy("project_id", "path")
-        .agg(F.max_by(F.struct("version", "deleted", "source"), F.struct("version", -F.col("change_id"))).alias("c"))
+        .agg(F.max_by(F.struct("version", "deleted", "source"), F.struct("version", -F.col("change_id"), unplaced)).alias("c"))
         .select("project_id", "path", "c.version", "c.deleted", "c.source")
     )
 

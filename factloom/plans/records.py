@@ -27,7 +27,10 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _current_files(spark: SparkSession, d: str) -> DataFrame:
-    """The feed applied in two slices, so that the second meets a base; the cut is the middle of change_id."""
+    """The feed applied in two slices, so that the second meets a base; the cut is the middle of change_id.
+
+    Changes without a change_id arrive last, so they are in the second slice.
+    """
     updates = table(spark, d, "updates")
     store = feed.BucketedTable(spark, scratch_path(spark, "files"), buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     low, high = updates.agg(F.min("change_id"), F.max("change_id")).first()
@@ -36,7 +39,7 @@ def _current_files(spark: SparkSession, d: str) -> DataFrame:
         return store.current()
     middle = (low + high) // 2
     store.apply(updates.where(F.col("change_id") <= middle))
-    store.apply(updates.where(F.col("change_id") > middle))
+    store.apply(updates.where((F.col("change_id") > middle) | F.col("change_id").isNull()))
     return store.current()
 
 

@@ -7,8 +7,8 @@ import inspect
 import pytest
 from compare import differences
 
-from factloom.operators import fixpoint
-from factloom.plans import engine
+from factloom.operators import feed, fixpoint
+from factloom.plans import engine, records
 
 
 def rows(df):
@@ -93,3 +93,15 @@ def test_closures_end_or_fail(spark):
             closure({"most_rounds": 5})
     for f in (fixpoint.spread, fixpoint.lattice):
         assert inspect.signature(f).parameters["most_rounds"].default is None
+
+
+def test_changes_without_change_id_are_applied(spark, tmp_path):
+    schema = "change_id bigint, project_id string, path string, version bigint, deleted boolean, source string"
+    data = [(1, "p", "/a", 1, False, "a1"), (9, "p", "/b", 3, False, "b3"), (2, "p", "/c", 5, False, "c5"), (None, "p", "/a", 2, False, "a2"), (None, "p", "/b", 3, False, "late"), (None, "p", "/c", 6, True, None), (None, "p", "/d", 1, False, "d1")]
+    data += [(None, "p", "/e", 1, False, x) for x in "xyz"]
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "updates.parquet"))
+    got = rows(records.QUERIES["p3_files"](spark, str(tmp_path)))
+    assert got[:3] == [("p", "/a", 2, "a2"), ("p", "/b", 3, "b3"), ("p", "/d", 1, "d1")] and [r[:3] for r in got[3:]] == [("p", "/e", 1)]
+    assert differences(spark, str(tmp_path), "p3_found", records.QUERIES["p3_found"], records.SQL["p3_found"]) == ""
+    turned = feed.decisive_changes(spark.createDataFrame(data[::-1], schema).coalesce(1)).where("path = '/e'").first()
+    assert turned.source == got[3][3]
