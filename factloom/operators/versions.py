@@ -13,12 +13,13 @@ def with_highest_before(feed: DataFrame, slice_size: int = 100_000) -> DataFrame
     """The feed's usable rows, each with the highest version of its file among earlier change_ids.
 
     A running maximum in two steps: inside slices of change_id, and over the slices' maxima. So one
-    file's rows need not meet in one task.
+    file's rows need not meet in one task. A null project_id is a project of its own; rows without version,
+    path or change_id are not in the log.
     """
     keys = ["project_id", "path"]
     rows = (
         feed.select("change_id", "project_id", plain_path(F.col("path")).alias("path"), "version", "deleted", "batch")
-        .where("version is not null and path is not null and project_id is not null")
+        .where("version is not null and path is not null and change_id is not null")
         .dropDuplicates(["change_id"])
         .withColumn("slice", F.floor(F.col("change_id") / slice_size))
     )
@@ -26,7 +27,9 @@ def with_highest_before(feed: DataFrame, slice_size: int = 100_000) -> DataFrame
     tops = rows.groupBy(*keys, "slice").agg(F.max("version").alias("top"))
     over = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     earlier = tops.select(*keys, "slice", F.max("top").over(over).alias("top_before"))
-    return rows.withColumn("in_slice", F.max("version").over(inside)).join(earlier, [*keys, "slice"]).withColumn("highest_before", F.greatest("in_slice", "top_before")).drop("in_slice", "top_before", "slice")
+    earlier = earlier.select(F.col("project_id").alias("e_project"), F.col("path").alias("e_path"), F.col("slice").alias("e_slice"), "top_before")
+    same = F.col("project_id").eqNullSafe(F.col("e_project")) & (F.col("path") == F.col("e_path")) & (F.col("slice") == F.col("e_slice"))
+    return rows.withColumn("in_slice", F.max("version").over(inside)).join(earlier, same).drop("e_project", "e_path", "e_slice").withColumn("highest_before", F.greatest("in_slice", "top_before")).drop("in_slice", "top_before", "slice")
 
 
 def generation_log(feed: DataFrame) -> DataFrame:
@@ -46,11 +49,12 @@ def stale_changes(feed: DataFrame) -> DataFrame:
 def recompute_changed(feed: DataFrame, since: int) -> DataFrame:
     """Current versions after the whole feed, computing anew only the files with a change after ``since``.
 
-    The result equals a full computation.
+    The result equals a full computation. Changes without a change_id arrive last, so they are after ``since``; a
+    null project_id is a project of its own.
     """
-    old = decisive_changes(feed.where(F.col("change_id") <= since))
-    late = feed.where(F.col("change_id") > since)
-    touched = late.select("project_id", plain_path(F.col("path")).alias("path")).where("path is not null").distinct()
-    again = decisive_changes(feed.withColumn("path", plain_path(F.col("path"))).join(touched, ["project_id", "path"], "left_semi"))
-    kept = old.join(touched, ["project_id", "path"], "left_anti")
-    return kept.unionByName(again)
+    arrived = F.coalesce(F.col("change_id") <= since, F.lit(False))
+    old = decisive_changes(feed.where(arrived))
+    touched = feed.where(~arrived).select(F.col("project_id").alias("t_project"), plain_path(F.col("path")).alias("t_path")).where("t_path is not null").distinct()
+    same = F.col("project_id").eqNullSafe(F.col("t_project")) & (F.col("path") == F.col("t_path"))
+    again = decisive_changes(feed.withColumn("path", plain_path(F.col("path"))).join(touched, same, "left_semi"))
+    return old.join(touched, same, "left_anti").unionByName(again)

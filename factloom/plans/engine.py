@@ -478,7 +478,7 @@ def affected_recompute(spark, d):
 def stream_files(spark, d):
     """The feed as a stream in micro-batches: the same files as from one batch."""
     folder = scratch_path(spark, "stream")
-    store = feed.BucketedTable(spark, f"{folder}/files", buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    store = feed.BucketedTable(spark, f"{folder}/files", feed.buckets_for(table(spark, d, "updates").count()))
     stream.apply_stream(stream.read_changes(spark, d, "updates.parquet"), store, f"{folder}/checkpoint", once=True).awaitTermination()
     return store.current().select("project_id", "path", "version")
 

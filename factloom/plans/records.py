@@ -32,8 +32,8 @@ def _current_files(spark: SparkSession, d: str) -> DataFrame:
     Changes without a change_id arrive last, so they are in the second slice.
     """
     updates = table(spark, d, "updates")
-    store = feed.BucketedTable(spark, scratch_path(spark, "files"), buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    low, high = updates.agg(F.min("change_id"), F.max("change_id")).first()
+    low, high, n = updates.agg(F.min("change_id"), F.max("change_id"), F.count(F.lit(1))).first()
+    store = feed.BucketedTable(spark, scratch_path(spark, "files"), feed.buckets_for(n))
     if low is None:
         store.apply(updates)
         return store.current()
@@ -102,10 +102,10 @@ _PLAIN = """nullif(nullif(case when starts_with(translate({0}, chr(92), '/'), '/
   || array_to_string(list_filter(string_split(translate({0}, chr(92), '/'), '/'), lambda x: x not in ('', '.')), '/'), ''), '/')"""
 
 _ORPHANS = """with refs as (
-  select 'symbols' ref_table, project_id, alias_target as ref, recorded_at, row_id, generation from symbols
-  union all select 'entities', project_id, symbol, recorded_at, row_id, generation from entities),
+  select 'symbols' ref_table, coalesce(project_id, chr(0)) project_id, alias_target as ref, recorded_at, row_id, generation from symbols
+  union all select 'entities', coalesce(project_id, chr(0)), symbol, recorded_at, row_id, generation from entities),
 r as (select distinct * from refs where ref is not null and ref <> ''),
-s as (select project_id, id, recorded_at, arg_max(coalesce(deleted_at, timestamp '9999-12-31'), row_id) deleted_at from symbols group by 1, 2, 3),
+s as (select coalesce(project_id, chr(0)) project_id, id, recorded_at, arg_max(coalesce(deleted_at, timestamp '9999-12-31'), row_id) deleted_at from symbols group by 1, 2, 3),
 live as (select r.*, s.recorded_at found_at, s.deleted_at from r asof left join s
   on r.project_id = s.project_id and r.ref = s.id and r.recorded_at >= s.recorded_at),
 orphans as (select * from live where found_at is null or deleted_at <= recorded_at)

@@ -30,10 +30,12 @@ def build_session(master: str = "local[8]", app: str = "factloom", partitions: i
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset (local mode)."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only in local mode, an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         folder = tempfile.mkdtemp(prefix="factloom-")
@@ -44,9 +46,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; local ones are removed when the process ends."""
+    """A new path in the shared folder; it is removed when the process ends, as far as the session still runs then."""
     path = f"{shared_folder(spark)}/factloom-{label}-{uuid.uuid4().hex}"
-    _scratch.append(path.removeprefix("file://"))
+    _scratch.append(path)
     return path
 
 
@@ -68,8 +70,16 @@ def spread_out(df: DataFrame) -> DataFrame:
 
 
 def _clean() -> None:
+    """Remove scratch tables through the file system that holds them; local ones also without a session."""
+    spark = SparkSession.getActiveSession()
     for path in _scratch:
-        shutil.rmtree(path, ignore_errors=True)
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001 - the session is gone
+            spark = None
+            if "://" not in path or path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 atexit.register(_clean)

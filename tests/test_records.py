@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import feed, hierarchy, nested, references, snapshots
 from factloom.session import scratch_path
@@ -37,7 +38,7 @@ def orphans_by_hand(refs, symbols):
     for row_id, project, ref, t in refs:
         if not ref:
             continue
-        same = [s for s in symbols if s[1] == project and project is not None and s[2] == ref and s[4] is not None and t is not None and s[4] <= t]
+        same = [s for s in symbols if s[1] == project and s[2] == ref and s[4] is not None and t is not None and s[4] <= t]
         last = max(same, key=lambda s: (s[4], s[0]), default=None)
         if last is None or (last[5] is not None and last[5] <= t):
             bad.add(row_id)
@@ -75,17 +76,17 @@ def files_by_hand(changes):
         seen.add(c[0])
         path = c[3].replace("\\", "/")
         path = ("/" if path.startswith("/") else "") + "/".join(x for x in path.split("/") if x not in ("", "."))
-        old = state.get((c[1] or "", path))
+        old = state.get((c[1], path))
         if old is None or c[4] > old[0]:
-            state[c[1] or "", path] = (c[4], bool(c[5]), c[6] or "")
-    return sorted((p, f, v, s) for (p, f), (v, gone, s) in state.items() if not gone)
+            state[c[1], path] = (c[4], bool(c[5]), c[6] or "")
+    return sorted(((p, f, v, s) for (p, f), (v, gone, s) in state.items() if not gone), key=repr)
 
 
 def random_feed(rng, n):
     out = []
     for k in range(n):
         path = rng.choice(["/a/hot.ts", "/a/hot.ts", "/a//hot.ts", "\\a\\hot.ts", "/a/./b.ts", "/a/../c.ts", "d.ts/", None, f"/x/{rng.randrange(9)}"])
-        out.append((k, rng.choice(["p", "q", None]), k // 10, path, rng.choice([None, *range(12)]), rng.choice([True, False, False, None]), rng.choice([None, "", f"s{k}", "é" * 5000])))
+        out.append((k, rng.choice(["p", "q", None, ""]), k // 10, path, rng.choice([None, *range(12)]), rng.choice([True, False, False, None]), rng.choice([None, "", f"s{k}", "é" * 5000])))
     out += out[: n // 5]
     rng.shuffle(out)
     return out
@@ -116,6 +117,43 @@ def test_only_touched_buckets_are_rewritten(spark):
     assert store.current().count() == 199
 
 
+def test_bucket_count_is_kept(spark):
+    path = scratch_path(spark, "test")
+    changes = spark.createDataFrame([(k, None if k % 2 else "", 0, f"/f{k // 2}", 1, False, "s") for k in range(40)], FEED)
+    feed.BucketedTable(spark, path, buckets=8).apply(changes)
+    again = feed.BucketedTable(spark, path)
+    assert again.buckets == 8
+    again.apply(changes.withColumn("version", F.lit(2).cast("bigint")))
+    assert again.current().where("version = 2").count() == 40 == again.current().count()
+    with pytest.raises(ValueError):
+        feed.BucketedTable(spark, path, buckets=12)
+    stale = feed.BucketedTable(spark, path)
+    again.resize(16)
+    assert feed.BucketedTable(spark, path).buckets == 16 and rows(again.current()) == rows(feed.BucketedTable(spark, path).current())
+    with pytest.raises(RuntimeError):
+        stale.apply(changes)
+    again.apply(changes.withColumn("version", F.lit(3).cast("bigint")).where("change_id < 4"))
+    assert again.current().count() == 40 and again.vacuum()
+    assert rows(again.current().groupBy("version").count()) == [(2, 36), (3, 4)]
+
+
+def test_commit_is_refused_to_the_second_writer(spark):
+    path = scratch_path(spark, "test")
+    a, b = feed.BucketedTable(spark, path, 4), feed.BucketedTable(spark, path, 4)
+    a._commit(1, {})
+    with pytest.raises(RuntimeError):
+        b._commit(1, {})
+
+
+def test_log_with_null_projects(spark):
+    from factloom.operators import versions
+
+    data = [(1, None, 1, "/a", 1, False, "x"), (2, "", 1, "/a", 1, False, "y"), (3, None, 2, "/a", 2, False, "z"), (4, None, 3, "/a", 1, False, "w")]
+    df = spark.createDataFrame(data, FEED)
+    assert rows(versions.recompute_changed(df, 2).select("project_id", "version")) == rows(feed.decisive_changes(df).select("project_id", "version")) == [("", 1), (None, 2)]
+    assert rows(versions.stale_changes(df)) == [(4, None, "/a", 1, 2)]
+
+
 # snapshots
 
 SOURCES = "project_id string, generation bigint, path string, sha256 string, delivered_at timestamp_ntz"
