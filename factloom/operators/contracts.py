@@ -36,22 +36,55 @@ def by_tier(offers: DataFrame) -> DataFrame:
     return offers.groupBy("name").agg(F.min_by(F.struct(*rest), F.struct("tier", "place")).alias("c")).select("name", "c.*")
 
 
+#: The fields that a contract and its parts may have.
+FIELDS = {
+    "$": ["schemaVersion", "package", "exports", "evidence"],
+    "$.package": ["name", "version"],
+    "$.evidence": ["kind"],
+    "export": ["kind", "reactiveReads", "callbacks", "asyncBehavior"],
+    "reactiveReads": ["kind", "path"],
+    "callbacks": ["argument", "execution"],
+}
+
+
+def _strange(value: Column, allowed: list[str]) -> Column:
+    """Whether an object (a variant) has a field that is not allowed; null and other values have none."""
+    names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.coalesce(F.exists(names, lambda n: ~n.isin(*allowed)), F.lit(False))
+
+
+def _unknown_field(v: Column) -> Column:
+    found = _strange(v, FIELDS["$"])
+    for part in ("$.package", "$.evidence"):
+        found = found | _strange(F.try_variant_get(v, part, "variant"), FIELDS[part])
+    exports = F.map_values(F.try_variant_get(v, "$.exports", "map<string,variant>"))
+
+    def strange_export(e: Column) -> Column:
+        inside = lambda name: F.coalesce(F.exists(F.try_variant_get(e, f"$.{name}", "array<variant>"), lambda x: _strange(x, FIELDS[name])), F.lit(False))
+        return _strange(e, FIELDS["export"]) | inside("reactiveReads") | inside("callbacks")
+
+    return found | F.coalesce(F.exists(exports, strange_export), F.lit(False))
+
+
 def decode(texts: DataFrame) -> DataFrame:
-    """name, contract and problem of each JSON ``text``: problem says why it is refused, null if it is sound."""
-    c = F.from_json("text", CONTRACT, {"mode": "PERMISSIVE"}).alias("c")
-    read = texts.select("*", c)
+    """name, contract and problem of each JSON ``text``: problem says why it is refused, null if it is sound.
+
+    Fields are closed: an unknown or repeated one makes a text no contract of this version.
+    """
+    read = texts.select("*", F.from_json("text", CONTRACT, {"mode": "PERMISSIVE"}).alias("c"), F.try_parse_json("text").alias("_v"))
     exports = F.map_values("c.exports")
     bad_kind = F.exists(exports, lambda e: ~F.coalesce(e["kind"].isin(*EXPORT_KINDS), F.lit(False)))
     bad_call = F.exists(exports, lambda e: F.exists(F.coalesce(e["callbacks"], F.array()), lambda b: ~F.coalesce(b["execution"].isin(*EXECUTIONS), F.lit(False)) | (b["argument"] < 0)))
     problem = (
-        F.when(F.col("c").isNull() | F.col("c.schemaVersion").isNull(), "not a contract")
+        F.when(F.col("c").isNull() | F.col("_v").isNull() | F.col("c.schemaVersion").isNull(), "not a contract")
         .when(F.col("c.schemaVersion") != 1, "unknown version")
+        .when(_unknown_field(F.col("_v")), "unknown field")
         .when(F.trim(F.coalesce("c.package.name", F.lit(""))) == "", "no name")
         .when(~F.coalesce(F.col("c.evidence.kind").isin(*EVIDENCE), F.lit(False)), "unknown evidence")
         .when(F.coalesce(bad_kind, F.lit(False)), "unknown kind of export")
         .when(F.coalesce(bad_call, F.lit(False)), "unknown callback")
     )
-    return read.select("*", F.col("c.package.name").alias("name"), problem.alias("problem"))
+    return read.select("*", F.col("c.package.name").alias("name"), problem.alias("problem")).drop("_v")
 
 
 def missing(imports: DataFrame, contracts: DataFrame) -> DataFrame:

@@ -25,32 +25,43 @@ def _bounded(r: int, most_rounds: int | None) -> None:
         raise RuntimeError(f"rows are still new after {r} rounds")
 
 
-def roots_by_doubling(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def roots_by_doubling(edges: DataFrame) -> DataFrame:
     """(node, root, hops) for each child of ``edges`` (child, parent; child unique), by pointer doubling.
 
-    After r rounds a pointer spans 2^r edges, so chains of n links take log2 n rounds. A node whose chain
-    never ends has a null root. Empty edges give no rows.
+    After r rounds a pointer spans 2^r edges, so chains of n links take log2 n rounds. Nodes that have reached
+    their root are written away and only looked up from then on; only moving ones are written again. A round in which no node arrives
+    proves that none ever will, for the nodes of a chain stand at all distances below its longest: the loop needs no bound, and
+    a node whose chain never ends has a null root. Empty edges give no rows.
     """
     spark, folder = edges.sparkSession, scratch_path(edges.sparkSession, "roots")
-    path = f"{folder}/0"
-    moving = _write(edges.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("hops")), path, F.count(F.lit(1)))
-    for r in range(1, most_rounds + 1):
-        if moving == 0:
-            break
-        now = spark.read.parquet(path)
-        above = now.select(F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("hops").alias("a_hops"))
-        longer = F.col("a_node").isNotNull()
-        out = now.join(above, F.col("up") == F.col("a_node"), "left").select(
-            "node", F.coalesce("a_up", "up").alias("up"), F.least(F.when(longer, F.col("hops") + F.col("a_hops")).otherwise(F.col("hops")), F.lit(2**40)).alias("hops"), longer.alias("moved")
-        )
-        path = f"{folder}/{r}"
-        before, moving = moving, _write(out, path, F.count_if("moved"))
-        if moving == before and r > 2 and 2**r > 4 * before:
-            break  # only endless chains still move
-    done = spark.read.parquet(path)
-    if "moved" not in done.columns:
-        return done.select("node", F.col("up").alias("root"), "hops")
-    return done.select("node", F.when(~F.col("moved"), F.col("up")).alias("root"), F.when(~F.col("moved"), F.col("hops")).alias("hops"))
+    types = dict(edges.dtypes)
+    schema = f"node {types['child']}, up {types['parent']}, hops bigint"
+    present: dict[tuple[int, bool], int] = {}
+
+    def read(rounds, done: bool) -> DataFrame:
+        parts = [f"{folder}/r={k}/done={str(done).lower()}" for k in rounds if present[k, done]]
+        return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+    def keep(df: DataFrame, r: int) -> None:
+        seen = Observation()
+        df.observe(seen, F.count_if("done").alias("done"), F.count_if(~F.col("done")).alias("moving")).write.partitionBy("done").parquet(f"{folder}/r={r}")
+        present[r, True], present[r, False] = seen.get["done"], seen.get["moving"]
+
+    children = edges.select(F.col("child").alias("c_node"))
+    first = edges.join(children, F.col("parent") == F.col("c_node"), "left")
+    keep(first.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("hops"), F.col("c_node").isNull().alias("done")), 0)
+    r, before = 0, None
+    while present[r, False] and present[r, False] != before:
+        before = present[r, False]
+        moving = read([r], False)
+        there = moving.withColumn("a_done", F.lit(False)).unionByName(read(range(r + 1), True).withColumn("a_done", F.lit(True)))
+        above = there.select(F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("hops").alias("a_hops"), "a_done")
+        met = moving.join(above, F.col("up") == F.col("a_node"))
+        keep(met.select("node", F.col("a_up").alias("up"), (F.col("hops") + F.col("a_hops")).alias("hops"), F.col("a_done").alias("done")), r + 1)
+        r += 1
+    ended = read(range(r + 1), True).select("node", F.col("up").alias("root"), "hops")
+    endless = read([r], False).select("node", F.lit(None).cast(ended.schema["root"].dataType).alias("root"), F.lit(None).cast("bigint").alias("hops"))
+    return ended.unionByName(endless)
 
 
 def spread(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
@@ -99,20 +110,21 @@ def lattice(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None)
 
     ``seeds`` has node and context; ``edges`` has src, dst and sets: null to pass the source's context
     on, else the bits to give. An edge fires only from a source with a context. Only nodes whose
-    context grew fire again. Goes on until none grows; fails if ``most_rounds`` is given and some still do after them.
+    context grew fire again, and only they are written: contexts only gain bits, so a node's is the union of its rows. Goes on until none grows; fails if ``most_rounds`` is given and some still do after them.
     """
     spark, folder = seeds.sparkSession, scratch_path(seeds.sparkSession, "lattice")
     edges.select("src", "dst", F.col("sets").cast("int").alias("sets")).write.parquet(f"{folder}/edges")
     steps = spark.read.parquet(f"{folder}/edges")
-    start = seeds.groupBy("node").agg(F.bit_or(F.col("context").cast("int")).alias("context")).where("context <> 0").withColumn("grew", F.lit(True))
-    new, r = _write(start, f"{folder}/0", F.count(F.lit(1))), 0
+    schema = seeds.select("node", F.col("context").cast("int")).schema
+    start = seeds.groupBy("node").agg(F.bit_or(F.col("context").cast("int")).alias("context")).where("context <> 0")
+    new, r = _write(start, f"{folder}/grown/r=0", F.count(F.lit(1))), 0
+    read = lambda rounds: spark.read.schema(schema).parquet(*[f"{folder}/grown/r={k}" for k in rounds])
     while new:
         _bounded(r, most_rounds)
-        now = spark.read.parquet(f"{folder}/{r}")
-        sent = now.where("grew").join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.coalesce("sets", "context").alias("got"))
-        sent = sent.groupBy("node").agg(F.bit_or("got").alias("got"))
-        grown = F.coalesce("context", F.lit(0)).bitwiseOR(F.coalesce("got", F.lit(0)))
-        out = now.select("node", "context").join(sent, "node", "full_outer").select("node", grown.alias("context"), (grown != F.coalesce("context", F.lit(0))).alias("grew"))
+        sent = read([r]).join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.coalesce("sets", "context").alias("got"))
+        sent = sent.groupBy("node").agg(F.bit_or("got").alias("got")).where("got <> 0")
+        had = read(range(r + 1)).groupBy(F.col("node").alias("h_node")).agg(F.bit_or("context").alias("had"))
+        more = sent.join(had, F.col("node") == F.col("h_node"), "left").select("node", F.coalesce("had", F.lit(0)).alias("had"), F.coalesce("had", F.lit(0)).bitwiseOR(F.col("got")).alias("context"))
         r += 1
-        new = _write(out, f"{folder}/{r}", F.count_if("grew"))
-    return spark.read.parquet(f"{folder}/{r}").select("node", "context")
+        new = _write(more.where("context <> had").select("node", "context"), f"{folder}/grown/r={r}", F.count(F.lit(1)))
+    return read(range(r + 1)).groupBy("node").agg(F.bit_or("context").alias("context"))

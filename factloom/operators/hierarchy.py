@@ -22,15 +22,6 @@ from factloom.session import materialize, scratch_path
 DOUBLINGS = 1
 
 
-#: A remainder of up to so many rows is worked on in one task: its rounds then need no shuffle. The
-#: result is the same; larger remainders are always distributed.
-ONE_TASK = 50_000
-
-
-def _together(df: DataFrame, n_rows: int) -> DataFrame:
-    return df.coalesce(1) if n_rows <= ONE_TASK else df
-
-
 def contract(edges: DataFrame, folder: str, with_paths: bool = False) -> list[int]:
     """Contract ``edges`` (child, parent; child unique) into ``folder``; gives the number of records of each round, then of what is left.
 
@@ -78,7 +69,7 @@ def contract(edges: DataFrame, folder: str, with_paths: bool = False) -> list[in
         counts.append(got["every"] - got["kept"])
         if got["open"] == 0:
             return [*counts, got["kept"]]
-        left = _together(done.where("kind = 'keep'").drop("kind"), got["kept"])
+        left = done.where("kind = 'keep'").drop("kind")
 
 
 def expand(edges: DataFrame, folder: str, counts: list[int], with_paths: bool = False) -> DataFrame:
@@ -87,7 +78,7 @@ def expand(edges: DataFrame, folder: str, counts: list[int], with_paths: bool =
     A node of a cycle, or leading into one, is endless: root and depth are null and the
     path holds the nodes up to the core of the cycle.
     """
-    spark, rounds, known = edges.sparkSession, len(counts) - 1, counts[-1]
+    spark, rounds = edges.sparkSession, len(counts) - 1
     schema = "node bigint, root bigint, depth bigint, endless boolean, path array<bigint>"
     record = "child bigint, parent bigint, steps bigint, via array<bigint>, r int, kind string"
     read = lambda r: spark.read.schema(record).parquet(f"{folder}/round={r}")
@@ -95,10 +86,9 @@ def expand(edges: DataFrame, folder: str, counts: list[int], with_paths: bool =
     core.write.mode("overwrite").parquet(f"{folder}/solved/r={rounds + 1}")
     path = "concat(via, coalesce(a_path, array(parent)))" if with_paths else "cast(null as array<bigint>)"
     for r in range(rounds, 0, -1):
-        known += counts[r - 1]
         solved = spark.read.schema(schema).parquet(*[f"{folder}/solved/r={k}" for k in range(r + 1, rounds + 2)])
         above = solved.selectExpr("node as a_node", "root as a_root", "depth as a_depth", "coalesce(endless, false) as a_endless", "path as a_path")
-        out = _together(read(r).where("kind <> 'keep'"), known).join(_together(above, known), F.expr("parent = a_node"), "left").selectExpr(
+        out = read(r).where("kind <> 'keep'").join(above, F.expr("parent = a_node"), "left").selectExpr(
             "child as node",
             "case when not coalesce(a_endless, false) then coalesce(a_root, parent) end as root",
             "case when not coalesce(a_endless, false) then steps + coalesce(a_depth, 0) end as depth",

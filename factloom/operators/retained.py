@@ -80,14 +80,13 @@ def reshaped(old_exports: DataFrame, new_exports: DataFrame, changed: DataFrame)
     return changed.join(differ, "path", "left_semi")
 
 
-def patch(old: DataFrame, contributions: DataFrame, affected: DataFrame, most_files: int = 64) -> tuple[DataFrame, bool]:
-    """Replace the affected files' rows if they are few, else say that all must be rebuilt (second value false).
+def patch(old: DataFrame, contributions: DataFrame, affected: DataFrame) -> DataFrame:
+    """The table after the affected files (path) have given their ``contributions`` anew; what other files gave stays.
 
-    Both ways give the same table; the bound only decides which is cheaper.
+    Contributions of files that are not affected are left out, so a full set and a partial one give the same.
     """
-    if affected.limit(most_files + 1).count() > most_files:
-        return contributions, False
-    return tables.replace_groups(old, contributions, ["path"], affected), True
+    fresh = contributions.join(affected.select("path").distinct(), "path", "left_semi")
+    return tables.replace_groups(old, fresh, ["path"], affected)
 
 
 def same_topology(old: DataFrame, new: DataFrame, resolved: DataFrame) -> bool:

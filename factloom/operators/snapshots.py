@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.paths import plain_path
+from factloom.session import materialize, scratch_path
 
 
 #: Stands for a null project_id inside the joins, so that they are plain equalities on one partitioning.
@@ -49,6 +50,7 @@ def snapshot_changes(deliveries: DataFrame) -> DataFrame:
     order = Window.partitionBy("project_id").orderBy("generation")
     steps = delivered.withColumn("next_generation", F.lead("generation").over(order)).withColumn("is_first", F.lag("generation").over(order).isNull())
     steps = steps.select(F.col("project_id").alias("s_project"), F.col("generation").alias("s_generation"), "next_generation", "is_first")
+    steps = materialize(steps, scratch_path(deliveries.sparkSession, "steps"))
     placed = rows.join(steps, (F.col("project_id") == F.col("s_project")) & (F.col("generation") == F.col("s_generation")))
     sides = placed.select(
         "project_id",

@@ -2,33 +2,65 @@
 
 A span is (keys, start, end), inclusive on both ends. Catalyst plans a containment join
 as an equality on the keys with a residual; where one key holds very many spans that is
-quadratic. So intervals are laid over slots of a fixed width: an interval gets a row
+quadratic. So intervals are laid over slots of a width that suits their length: an interval gets a row
 per slot it touches, a point only the slot of its start, and the slot joins the keys. A point
 meets an interval at most once, and a hot key is spread over its slots.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: An interval over more slots than this goes to slots that are so many times wider.
+MOST_SLOTS = 64
+
+
+def _levels(intervals: DataFrame, slot: int) -> list[int]:
+    """The widths of slots that the intervals need: one job that gives at most a dozen numbers, mostly one."""
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(MOST_SLOTS), (F.col("i_end").cast("double") - F.col("i_start") + 1) / slot)) - 1)
+    found = intervals.where("i_start <= i_end").agg(F.collect_set(level.cast("int"))).first()[0]
+    return sorted(found or [0])
+
+
 def containing(points: DataFrame, intervals: DataFrame, keys: list[str], slot: int, how: str = "inner") -> DataFrame:
     """Every interval that contains a point, in one row each (or semi / anti rows of the points).
 
     ``points`` has the keys, p_start and p_end; ``intervals`` has the keys, i_start and i_end; other
     columns must not clash. slot: width in the unit of the spans, about the usual length of an interval.
+    Intervals much longer than a slot are laid over wider slots, 64 times wider for each level, so an interval of any length has a
+    bounded number of rows; points join once per level in use.
     Spans with a null end, or reversed ones, contain nothing and lie in nothing.
     """
-    slots = F.explode(F.sequence(F.floor(F.col("i_start") / slot), F.floor(F.col("i_end") / slot)))
-    spread = intervals.where("i_start <= i_end").select("*", slots.alias("_slot"))
-    for k in keys:
-        spread = spread.withColumnRenamed(k, f"_i_{k}")
-    placed = points.withColumn("_at", F.floor(F.col("p_start") / slot))
-    on = (F.col("_at") == F.col("_slot")) & (F.col("i_start") <= F.col("p_start")) & (F.col("i_end") >= F.col("p_end")) & (F.col("p_start") <= F.col("p_end"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_i_{k}"))
-    return placed.join(spread, on, how).drop("_slot", "_at", *[f"_i_{k}" for k in keys])
+    levels = _levels(intervals, slot)
+    length = F.col("i_end").cast("double") - F.col("i_start") + 1
+    found, rest = [], points
+    for n, level in enumerate(levels):
+        width = slot * MOST_SLOTS**level
+        slots = F.explode(F.sequence(F.floor(F.col("i_start") / width), F.floor(F.col("i_end") / width)))
+        own = intervals.where("i_start <= i_end")
+        if n > 0:
+            own = own.where(length > slot * MOST_SLOTS ** (levels[n - 1] + 1))
+        if n < len(levels) - 1:
+            own = own.where(length <= width * MOST_SLOTS)
+        spread = own.select("*", slots.alias("_slot"))
+        for k in keys:
+            spread = spread.withColumnRenamed(k, f"_i_{k}")
+        on = (F.col("_at") == F.col("_slot")) & (F.col("i_start") <= F.col("p_start")) & (F.col("i_end") >= F.col("p_end")) & (F.col("p_start") <= F.col("p_end"))
+        for k in keys:
+            on = on & (F.col(k) == F.col(f"_i_{k}"))
+        placed = rest.withColumn("_at", F.floor(F.col("p_start") / width))
+        found.append(placed.join(spread, on, how).drop("_slot", "_at", *[f"_i_{k}" for k in keys]))
+        if how == "left_anti":
+            rest, found = found[0], found[-1:]
+        elif how == "left_semi":
+            rest = placed.join(spread, on, "left_anti").drop("_at")
+        if how == "left_anti" and n < len(levels) - 1:
+            found = []
+    return reduce(DataFrame.unionByName, found)
 
 
 def _pick(pairs: DataFrame, point_id: list[str], value: Column, order: Column, last: bool) -> DataFrame:

@@ -9,7 +9,7 @@ from factloom.functions import paths, text
 from factloom.operators import analysis, coherence, contracts, feed, fixpoint, hierarchy, nested, retained, rules, spans, tables, versions
 from factloom.plans.records import _CURRENT, _FEED, _PLAIN
 from factloom.plans.tables import table
-from factloom.session import scratch_path
+from factloom.session import materialize, scratch_path
 from factloom.sources import readers, sinks
 from factloom.streaming import feed as stream
 
@@ -156,8 +156,10 @@ union all select e.row_id, t.root, t.hops + 1 from e join t on e.parent = t.row_
 
 
 def _aliases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    current = hierarchy.current_symbols(table(spark, d, "symbols"))
-    return current, hierarchy.alias_edges(current)
+    """Current symbols and the links between them, kept as tables, since the loops and what follows them read both again."""
+    folder = scratch_path(spark, "aliases")
+    current = materialize(hierarchy.current_symbols(table(spark, d, "symbols")), f"{folder}/current")
+    return current, materialize(hierarchy.alias_edges(current), f"{folder}/edges")
 
 
 @query(_ROOTS + "select e.row_id node, t.root, t.hops from e left join t using (row_id) where e.parent is not null")
@@ -361,14 +363,8 @@ def percentile_floor(spark, d):
     return ranked.groupBy("event_type").agg(at(50).alias("p50"), at(95).alias("p95"))
 
 
-@query("select l_orderkey, l_linenumber, unnest(range(1, 1 + least(l_quantity, 5)::int))::int copy from lineitem where l_quantity > 0")
-def multiplicity_expand(spark, d):
-    """At most five copies of each line, as its SQL has it; all copies: multiplicity_expand_whole."""
-    return table(spark, d, "lineitem").where("l_quantity > 0").select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1), F.least("l_quantity", F.lit(5)).cast("int"))).alias("copy"))
-
-
 @query("select l_orderkey, l_linenumber, unnest(range(1, 1 + floor(l_quantity)::int))::int copy from lineitem where l_quantity >= 1")
-def multiplicity_expand_whole(spark, d):
+def multiplicity_expand(spark, d):
     """Every line once per unit of its quantity, without a bound; a null quantity or one below 1 gives no row."""
     return table(spark, d, "lineitem").where("l_quantity >= 1").select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1), F.floor("l_quantity").cast("int"))).alias("copy"))
 
@@ -379,8 +375,6 @@ c as (select record_id, pos, e->>'$.target' target, case json_type(e, '$.argumen
 select target, count(*) n_sites, max(n_args)::int most_arguments from c where target is not null group by 1""")
 def callsite_targets(spark, d):
     """Call sites per target with the greatest number of arguments."""
-    from factloom.operators.nested import _elements, parse_object
-
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     v = table(spark, d, "file_facts").where("payload is not null").select("record_id", nested.parse_object(F.col("payload")).alias("v")).where("v is not null")
     calls = v.select("record_id", F.posexplode(nested._elements(F.try_variant_get("v", "$.calls", "variant"))).alias("pos", "e")).where("e is not null")
@@ -485,40 +479,12 @@ def stream_files(spark, d):
 
 # bytes and texts
 
-@query()
-def byte_slice(spark, d):
-    """Bytes 3 to 12 of each text; null where the text is shorter or a character would be split. Whole texts: byte_slices."""
-    return table(spark, d, "documents").select("doc_id", text.byte_slice(F.col("text"), F.lit(3), F.lit(12)).alias("slice"))
-
-
-SQL["byte_slice"] = """with b as (select doc_id, text, encode(text) e from documents), h as (select doc_id, text, e, hex(e) x from b)
-select doc_id, case when octet_length(e) >= 12 and not (x[7:7] in ('8', '9', 'A', 'B')) and not (x[25:25] in ('8', '9', 'A', 'B')) then decode(from_hex(x[7:24])) end slice from h"""
-
-
 @query("""select doc_id, 'sha256:' || sha256(text) h, 'sha256:' || sha256(text) parsed from documents""")
 def text_hash(spark, d):
     h = text.text_hash(F.col("text"))
     return table(spark, d, "documents").select("doc_id", h.alias("h"), text.parsed_hash(h).alias("parsed"))
 
 
-@query("""with p as (select doc_id, text, least(20, length(text)) n from documents where text is not null)
-select doc_id, (1 + length(left(text, n)) - length(replace(left(text, n), chr(10), '')))::bigint line_no,
-(1 + list_sum(list_transform(string_split(string_split(left(text, n), chr(10))[-1], ''), lambda c: case when c = '' then 0 when unicode(c) > 65535 then 2 else 1 end)))::bigint col_no from p where n > 0""")
-def line_col(spark, d):
-    """1-based line and UTF-16 column of the byte offset of the twenty-first character. Whole texts: line_cols."""
-    t = table(spark, d, "documents").where("text is not null and text <> ''")
-    offset = F.octet_length(F.substring("text", 1, 20))
-    return t.select("doc_id", text.line_number(F.col("text"), offset).alias("line_no"), text.utf16_column(F.col("text"), offset).alias("col_no"))
-
-
-@query("""select doc_id, '<' || left(text, 1) || '>' || substr(text, 4) as edited from documents where length(text) >= 6 and octet_length(encode(left(text, 3))) = 3""")
-def apply_edits(spark, d):
-    """Two edits: brackets around the first character, the second and third deleted. Whole texts: line_edits."""
-    t = table(spark, d, "documents").where("length(text) >= 6 and octet_length(substring(text, 1, 3)) = 3")
-    edit = lambda a, b, s: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(s).alias("new_text"))
-    return t.select("doc_id", text.apply_edits(F.col("text"), F.array(edit(0, 0, "<"), edit(1, 3, ">"))).alias("edited"))
-
-
 def _line_starts(t: Column) -> Column:
     """Byte offsets of the starts of a text's lines; the empty text has one line."""
     last = F.size(F.split(t, "\n")) - 1
@@ -537,7 +503,7 @@ y as (select *, case when b < size then (select min(k) from range(4) t(k) where
 w as (select *, decode(from_hex(left(h, 2 * (b - back)::int))) t from y)
 select doc_id, at_offset, (1 + length(t) - length(replace(t, chr(10), '')))::bigint line_no,
 (1 + length(string_split(t, chr(10))[-1]) + length(regexp_replace(string_split(t, chr(10))[-1], '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))::bigint col_no from w""")
-def line_cols(spark, d):
+def line_col(spark, d):
     """1-based line and UTF-16 column of every line start, the middle, the end and past the end of every text; null texts have no offsets."""
     size = F.octet_length("text")
     offsets = F.array_distinct(F.concat(_line_starts(F.col("text")), F.array(F.floor(size / 2).cast("int"), size, size + 1)))
@@ -551,7 +517,7 @@ o as (select doc_id, unnest(list_distinct(list_concat(list_transform(a, lambda x
 x as (select doc_id, p.s start_byte, p.e end_byte, hex(encode(text)) h, size from o join st using (doc_id))
 select doc_id, start_byte, end_byte, case when end_byte <= size and h[2 * start_byte + 1:2 * start_byte + 1] not in ('8', '9', 'A', 'B') and h[2 * end_byte + 1:2 * end_byte + 1] not in ('8', '9', 'A', 'B')
 then decode(from_hex(h[2 * start_byte + 1:2 * end_byte])) end slice from x""")
-def byte_slices(spark, d):
+def byte_slice(spark, d):
     """Every line, nine bytes from the middle, the whole and one byte past the end of every text, cut by byte offsets; null outside or where a character would be split."""
     size, middle = F.octet_length("text"), F.floor(F.octet_length("text") / 2).cast("int")
     span = lambda a, b: F.struct(a.alias("start_byte"), b.alias("end_byte"))
@@ -562,7 +528,7 @@ def byte_slices(spark, d):
 
 
 @query("""select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, k: '<' || (k - 1) || '>' || substr(x, length(x) // 2 + 1)), chr(10)) edited from documents""")
-def line_edits(spark, d):
+def apply_edits(spark, d):
     """In every line of every text the first half of the characters is replaced by the line's number; a null text stays null."""
     t = F.col("text")
     half = lambda x: F.octet_length(F.substring(x, F.lit(1), F.floor(F.length(x) / 2).cast("int")))
@@ -627,22 +593,41 @@ def contract_emit(spark, d):
     return made.select("package", F.from_json("text", contracts.CONTRACT).alias("c")).select("package", F.when(F.col("c").isNotNull(), F.size("c.exports")).cast("bigint").alias("n_exports"))
 
 
-@query("select code, rule, severity, uncertifiable from (values " + ", ".join(f"('{c}', '{r}', '{s}', {str(u).lower()})" for c, r, s, u in rules.CATALOGUE) + ") t(code, rule, severity, uncertifiable)")
+@query("""select * from (values
+('SC1001', 'strict-read-untracked', 'warning', false),
+('SC1002', 'reactive-read-after-await', 'error', false),
+('SC1003', 'component-props-destructure', 'error', false),
+('SC1004', 'component-returns-conditionally', 'error', false),
+('SC2001', 'reactive-write-in-owned-scope', 'error', false),
+('SC2002', 'action-called-in-owned-scope', 'error', false),
+('SC3001', 'cleanup-in-forbidden-scope', 'error', false),
+('SC3002', 'primitive-in-leaf-owner', 'error', false),
+('SC3003', 'flush-in-forbidden-scope', 'error', false),
+('SC3004', 'invalid-cleanup-return', 'error', false),
+('SC3005', 'settled-cleanup-unowned', 'error', false),
+('SC4001', 'no-owner-effect', 'warning', false),
+('SC4002', 'no-owner-cleanup', 'warning', false),
+('SC4003', 'no-owner-boundary', 'warning', false),
+('SC5001', 'pending-async-untracked-read', 'error', false),
+('SC5002', 'pending-async-forbidden-scope', 'warning', false),
+('SC5003', 'async-outside-loading-boundary', 'warning', false),
+('SC6001', 'primitive-in-directive-application', 'error', false),
+('SC7001', 'missing-effect-function', 'error', false),
+('SC7002', 'sync-node-received-async', 'error', false),
+('SC7003', 'invalid-refresh-target', 'error', false),
+('SC7003', 'invalid-affects-target', 'error', false),
+('SC7004', 'affects-keys-on-accessor', 'error', false),
+('SC9001', 'package-contract-export-missing', 'error', true),
+('SC9002', 'cleanup-return-unresolved', 'error', true),
+('SC9003', 'refresh-target-unresolved', 'error', true),
+('SC9003', 'affects-target-unresolved', 'error', true),
+('SC9004', 'execution-map-incomplete', 'error', true),
+('SC9005', 'package-contract-missing', 'error', true)
+) t(code, rule, severity, uncertifiable)""")
 def rule_catalogue(spark, d):
     return rules.catalogue(spark)
 
 
-@query("""with s as (select project_id, path, arg_min(source, file_id) source from source_files where source is not null and project_id is not null and path is not null group by 1, 2),
-f as (select distinct project_id, primary_location.path path, primary_location.start_byte b from findings where primary_location.path is not null and primary_location.start_byte is not null and project_id is not null)
-select f.project_id, f.path, f.b as start_byte, (1 + length(t) - length(replace(t, chr(10), '')))::bigint line_no from
-(select f.*, decode(from_hex(left(hex(encode(source)), 2 * least(b, octet_length(encode(source)))::int))) t from f join s using (project_id, path) where regexp_full_match(source, '[\\x00-\\x7f]*')) f""")
-def finding_lines(spark, d):
-    """Lines of findings in their files (files in plain ASCII, so that the other side can cut bytes); all files: finding_lines_whole."""
-    s = table(spark, d, "source_files").where("source is not null and project_id is not null and path is not null").groupBy("project_id", "path").agg(F.min_by("source", "file_id").alias("source"))
-    f = table(spark, d, "findings").select("project_id", F.col("primary_location.path").alias("path"), F.col("primary_location.start_byte").alias("start_byte")).where("project_id is not null and path is not null and start_byte is not null").distinct()
-    return sinks.located(f, s.where(F.octet_length("source") == F.length("source"))).where("line_no is not null").select("project_id", "path", "start_byte", "line_no")
-
-
 @query(f"""with s as (select project_id, {_PLAIN.format("path")} path, arg_min(source, file_id) source from source_files where source is not null and project_id is not null and path is not null group by 1, 2),
 f as (select distinct project_id, {_PLAIN.format("primary_location.path")} path, primary_location.start_byte b from findings where primary_location.path is not null and primary_location.start_byte is not null and project_id is not null),
 x as (select f.*, source, hex(encode(source)) h from f left join s on f.project_id = s.project_id and f.path = s.path),
@@ -651,7 +636,7 @@ z as (select *, case when at_ < length(h) // 2 then (select min(k) from range(4)
 w as (select *, decode(from_hex(left(h, 2 * (at_ - back)::int))) t from z)
 select project_id, path, b as start_byte, (1 + length(t) - length(replace(t, chr(10), '')))::bigint line_no,
 (1 + length(string_split(t, chr(10))[-1]) + length(regexp_replace(string_split(t, chr(10))[-1], '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))::bigint col_no from w""")
-def finding_lines_whole(spark, d):
+def finding_lines(spark, d):
     """Line and UTF-16 column of every position of a finding, in files with any characters; nulls where the file is unknown.
 
     Paths are met whatever their spelling; of several texts of a file the one with the lowest file_id counts. An offset
@@ -672,19 +657,6 @@ def typed_accessors(spark, d):
     return e.select("row_id", analysis.typed_accessor(F.col("origin_module"), F.col("alias_declarations")).alias("typed")).distinct()
 
 
-@query(f"""with f as (select project_id, {_PLAIN.format("path")} path, arg_min('sha256:' || sha256(source), file_id) sha256, arg_min(generation, file_id) generation from source_files
-  where project_id is not null and path is not null and source is not null and generation is not null group by 1, 2),
-s as (select project_id, {_PLAIN.format("path")} path, count(*) n, min(sha256) h, min(generation) g from (select distinct project_id, path, sha256, generation from sources where generation % 4 = 1) group by 1, 2)
-select f.project_id, f.path, case when s.n is null then 'digests missing' when s.n > 1 then 'digests repeated' when s.h is distinct from f.sha256 then 'digests hash' when s.g is distinct from f.generation then 'digests generation' end problem
-from f left join s on f.project_id = s.project_id and f.path = s.path""")
-def domain_join(spark, d):
-    """Files against one domain of digests, in the diagnostic mode. A sample of generations, as its SQL has it; all: domain_join_whole."""
-    f = table(spark, d, "source_files").where("project_id is not null and path is not null and source is not null and generation is not null")
-    f = f.groupBy("project_id", paths.plain_path(F.col("path")).alias("path")).agg(F.min_by(text.text_hash(F.col("source")), "file_id").alias("sha256"), F.min_by("generation", "file_id").alias("generation"))
-    s = table(spark, d, "sources").where("generation % 4 = 1").select("project_id", "path", "sha256", "generation").distinct().withColumn("path", paths.plain_path(F.col("path"))).withColumn("facts", F.lit(1))
-    return coherence.join_domains(f, {"digests": s}, strict=False).select("project_id", "path", "problem")
-
-
 @query(f"""with f as (select project_id, path, x.h sha256, x.g generation from (select project_id, {_PLAIN.format("path")} path, arg_min({{'h': 'sha256:' || sha256(source), 'g': generation}}, file_id) x from source_files
   where project_id is not null and path is not null and source is not null group by 1, 2)),
 s as (select project_id, {_PLAIN.format("path")} path, 'sha256:' || regexp_replace(lower(trim(sha256)), '^sha256:', '') sha256, generation, delivered_at from sources),
@@ -694,7 +666,7 @@ j as (select f.project_id, f.path, s.sha256, s.generation, rank() over (partitio
 a as (select project_id, path, count(*) n, min(sha256) h, min(generation) g from (select distinct project_id, path, sha256, generation from j where k = 1) group by 1, 2)
 select f.project_id, f.path, case when a.n is null then 'digests missing' when a.n > 1 then 'digests repeated' when a.h is distinct from f.sha256 then 'digests hash' when a.g is distinct from f.generation then 'digests generation' end problem
 from f left join a on f.project_id = a.project_id and f.path = a.path""")
-def domain_join_whole(spark, d):
+def domain_join(spark, d):
     """Files against the digests of every generation, in the diagnostic mode.
 
     A file is judged by its own generation; where its path was not delivered in that, by the latest one it was delivered in, and

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -18,22 +17,40 @@ class Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.suffixes = options["path"], tuple(options.get("suffixes", "").split(",")) if options.get("suffixes") else ()
-        self.per_part = int(options.get("filesPerPart", "500"))
+        self.bytes_per_part = int(options.get("bytesPerPart", str(64 << 20)))
+
+    def _open(self):
+        """The file system that the folder's address names, and the path in it: a shared folder of any kind that Arrow reads."""
+        from pyarrow import fs
+
+        if "://" in self.folder or self.folder.startswith("file:"):
+            return fs.FileSystem.from_uri(self.folder)
+        return fs.LocalFileSystem(), self.folder
 
     def partitions(self) -> list[Part]:
-        found = [os.path.join(at, f) for at, _, files in os.walk(self.folder) for f in files if not self.suffixes or f.endswith(self.suffixes)]
-        found.sort()
-        return [Part(found[i : i + self.per_part]) for i in range(0, len(found), self.per_part)]
+        from pyarrow import fs
+
+        system, root = self._open()
+        found = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and (not self.suffixes or f.path.endswith(self.suffixes))]
+        parts, size = [[]], 0
+        for f in sorted(found, key=lambda f: f.path):
+            if parts[-1] and size + f.size > self.bytes_per_part:
+                parts.append([])
+                size = 0
+            parts[-1].append(f.path)
+            size += f.size
+        return [Part(p) for p in parts]
 
     def read(self, partition: Part) -> Iterator[tuple]:
+        system, _ = self._open()
         for path in partition.paths:
-            with open(path, "rb") as f:
+            with system.open_input_stream(path) as f:
                 raw = f.read()
             yield path, raw.decode("utf-8", "replace"), "sha256:" + hashlib.sha256(raw).hexdigest()
 
 
 class FolderSource(DataSource):
-    """``spark.read.format("sourcefolder").option("path", …)``: path, source and sha256; the folder must be shared."""
+    """``spark.read.format("sourcefolder").option("path", …)``: path, source and sha256; parts are made by size in bytes."""
 
     @classmethod
     def name(cls) -> str:

@@ -25,17 +25,33 @@ def hashed_sources(files: DataFrame) -> DataFrame:
     return out.withColumn("agrees", F.col("sha256").eqNullSafe(F.col("actual"))) if "sha256" in files.columns else out
 
 
-def read_sources(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder as path, source and hash; bytes that are not UTF-8 become replacement characters."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+def _listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+
+
+def _decoded(raw: DataFrame) -> DataFrame:
     return hashed_sources(raw.select("path", F.decode("content", "UTF-8").alias("source"), F.col("modificationTime").alias("stamp")))
 
 
-def changed_files(known: DataFrame, listed: DataFrame) -> DataFrame:
-    """Files whose stamp moved and whose hash differs from what is known, and new ones."""
+def read_sources(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Files of a folder as path, source, stamp and hash; bytes that are not UTF-8 become replacement characters."""
+    return _decoded(_listed(spark, folder, pattern))
+
+
+def changed_files(known: DataFrame, spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Files of ``folder`` that are new to ``known`` (path, stamp, actual), or whose stamp moved and whose hash differs.
+
+    Stamps are compared on the listing, which reads no content; only files that moved are read and hashed. Their
+    names pass the driver, as the listing of every file does when a folder is read.
+    """
     k = known.select(F.col("path").alias("k_path"), F.col("stamp").alias("k_stamp"), F.col("actual").alias("k_hash"))
-    moved = listed.join(k, F.col("path") == F.col("k_path"), "left").where("k_path is null or stamp <> k_stamp")
-    return moved.where("k_hash is null or actual <> k_hash").drop("k_path", "k_stamp", "k_hash")
+    listed = _listed(spark, folder, pattern).select(F.col("path").alias("place"), plain_path(F.col("path")).alias("l_path"), F.col("modificationTime").alias("l_stamp"))
+    moved = listed.join(k, F.col("l_path") == F.col("k_path"), "left").where("k_path is null or l_stamp <> k_stamp")
+    places = [r.place for r in moved.select("place").toLocalIterator()]
+    if not places:
+        return read_sources(spark, folder, pattern).limit(0)
+    read = _decoded(spark.read.format("binaryFile").load(places))
+    return read.join(k, F.col("path") == F.col("k_path"), "left").where("k_hash is null or actual <> k_hash").drop("k_path", "k_stamp", "k_hash")
 
 
 def _outside(spans: Column, size: Column) -> Column:
@@ -90,12 +106,16 @@ def markup_elements(texts: DataFrame, ident: str) -> DataFrame:
                 self.lines = [0]
                 for line in text.split("\n"):
                     self.lines.append(self.lines[-1] + len(line) + 1)
-                self.text = text
+                self.text, self.chars, self.bytes = text, 0, 0
                 self.feed(text)
 
             def _at(self) -> int:
+                """The byte offset of a tag: what lies between it and the last one is added, as tags come in order."""
                 line, column = self.getpos()
-                return len(self.text[: self.lines[line - 1] + column].encode())
+                at = self.lines[line - 1] + column
+                self.bytes += len(self.text[self.chars : at].encode())
+                self.chars = at
+                return self.bytes
 
             def handle_starttag(self, tag, attrs):
                 self.found.append((tag, self._at(), len(attrs), False))

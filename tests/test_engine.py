@@ -56,6 +56,20 @@ def test_smallest_contained(spark):
     assert rows(spans.smallest_contained(boxes, facts, ["k"], 8, "v", "o")) == [("k", 0, 10, "exact"), ("k", 3, 4, "in"), ("k", 50, 60, None)]
 
 
+def test_intervals_of_any_length(spark):
+    sizes = [0, 3, 511, 40_000, 10**7, 2**45, 2**62]
+    boxes = [("k", a, a + n, k) for k, (a, n) in enumerate((a, n) for n in sizes for a in (0, 700, 10**9))] + [("k", 9, 3, 90), ("k", None, 3, 91), ("k", 1, None, 92)]
+    dots = [("k", p, p + w, k) for k, (p, w) in enumerate((p, w) for p in (0, 5, 699, 701, 30_000, 10**9 + 2, 2**44) for w in (0, 2, 10**6))] + [("k", 5, 4, 80), (None, 1, 1, 81), ("k", None, 1, 82), ("j", 1, 1, 83)]
+    i = spark.createDataFrame(boxes, "k string, i_start bigint, i_end bigint, i bigint")
+    p = spark.createDataFrame(dots, "k string, p_start bigint, p_end bigint, p bigint")
+    want = sorted(((x[3], y[3]) for x in dots for y in boxes if None not in x and None not in y and x[0] == y[0] and x[1] <= x[2] and y[1] <= x[1] and y[2] >= x[2]), key=repr)
+    assert rows(spans.containing(p, i, ["k"], 512).select("p", "i")) == want
+    hit = {x for x, _ in want}
+    assert [r.p for r in spans.containing(p, i, ["k"], 512, "left_semi").orderBy("p").collect()] == sorted(hit)
+    assert {r.p for r in spans.containing(p, i, ["k"], 512, "left_anti").collect()} == {x[3] for x in dots} - hit
+    assert spans.containing(p, i.limit(0), ["k"], 512).count() == 0 and spans.containing(p, i.limit(0), ["k"], 512, "left_anti").count() == len(dots)
+
+
 def test_unknown_rules_and_uncertain_findings(spark):
     bad = spark.createDataFrame([("p", "a", 1, 2, "SC7003", "no-such-rule", "s")], "project_id string, path string, start_byte bigint, end_byte bigint, code string, rule string, subject string")
     with pytest.raises(PySparkException):
@@ -89,9 +103,12 @@ def test_affected_files_and_cutoff(spark):
     assert retained.reshaped(old, old.where("path <> 'a'"), changed).count() == 1
     contributions = spark.createDataFrame([("a", 2), ("b", 2)], "path string, n int")
     stale = spark.createDataFrame([("a", 1), ("b", 2)], "path string, n int")
-    new, patched = retained.patch(stale, contributions, changed)
-    assert patched and rows(new) == rows(contributions)
-    assert retained.patch(stale, contributions, changed, most_files=0)[1] is False
+    assert rows(retained.patch(stale, contributions, changed)) == rows(contributions)
+    many = spark.range(200).selectExpr("concat('f', id) as path", "1 as n")
+    for n in (10, 70, 200):  # any number of affected files: the others keep what they gave
+        again = many.limit(n).selectExpr("path", "2 as n")
+        got = retained.patch(many, again, again)
+        assert got.count() == 200 and got.where("n = 2").count() == n
     edges = spark.createDataFrame([(1, 2), (1, 9)], "src int, dst int")
     assert retained.same_topology(edges, edges.limit(1), spark.createDataFrame([(2,)], "node int"))
     cache = retained.AnswerCache(scratch_path(spark, "test"))
@@ -111,6 +128,10 @@ def test_fixpoints_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 4), (6, 4), (7, 7)], "child bigint, parent bigint")
     assert rows(fixpoint.roots_by_doubling(edges)) == [(1, 3, 2), (2, 3, 1), (4, None, None), (5, None, None), (6, None, None), (7, None, None)]
     assert fixpoint.roots_by_doubling(edges.limit(0)).count() == 0
+    chain = spark.range(100).selectExpr("id as child", "id + 1 as parent").union(edges.selectExpr("child + 1000", "parent + 1000"))
+    deep = fixpoint.roots_by_doubling(chain)
+    assert rows(deep.where("node < 100")) == [(k, 100, 100 - k) for k in range(100)] or deep.where("node < 100 and (root <> 100 or hops <> 100 - node)").count() == 0
+    assert deep.where("root is null").count() == 4
     steps = edges.selectExpr("child as src", "parent as dst")
     assert {r.node for r in fixpoint.spread(spark.createDataFrame([(4, 0)], "node bigint, tag int"), steps).collect()} == {4, 5}
     labelled = spark.createDataFrame([(1, 2, None), (2, 3, 4), (3, 1, None), (9, 1, 2)], "src bigint, dst bigint, sets int")
@@ -118,8 +139,9 @@ def test_fixpoints_on_cycles(spark):
 
 
 def test_contracts(spark):
-    texts = spark.createDataFrame([('{"schemaVersion": 1, "package": {"name": "a"}, "exports": {"x": {"kind": "function", "callbacks": [{"argument": 0, "execution": "later"}]}}, "evidence": {"kind": "trusted"}}',), ("{",), ('{"schemaVersion": 2}',), (None,)], "text string")
-    assert sorted(r.problem for r in contracts.decode(texts).collect()) == ["not a contract", "not a contract", "unknown callback", "unknown version"]
+    texts = spark.createDataFrame([('{"schemaVersion": 1, "package": {"name": "a"}, "exports": {"x": {"kind": "function", "callbacks": [{"argument": 0, "execution": "later"}]}}, "evidence": {"kind": "trusted"}}',), ("{",), ('{"schemaVersion": 2}',), (None,),
+        ('{"schemaVersion": 1, "package": {"name": "a", "author": 1}, "exports": {}, "evidence": {"kind": "trusted"}}',), ('{"schemaVersion": 1, "package": {"name": "a"}, "exports": {"x": {"kind": "value", "callbacks": [{"at": 1}]}}, "evidence": {"kind": "trusted"}}',)], "text string")
+    assert sorted(r.problem for r in contracts.decode(texts).collect()) == ["not a contract", "not a contract", "unknown callback", "unknown field", "unknown field", "unknown version"]
     s = spark.createDataFrame([("a", "1", "x", "value", False), ("b", "1", "y", "value", True)], "package string, version string, export string, kind string, unresolved boolean")
     made = {r.package: r.text for r in contracts.emit(s).collect()}
     assert made["b"] is None and contracts.decode(spark.createDataFrame([(made["a"],)], "text string")).first().problem is None
@@ -141,8 +163,12 @@ def test_sources_from_folders(spark, tmp_path):
     assert sorted(r.source for r in got.collect()) == ["let a", "é"]
     listed = readers.read_sources(spark, str(tmp_path), "*.ts")
     assert listed.count() == 2
-    assert readers.changed_files(listed, listed).count() == 0
-    assert readers.changed_files(listed.limit(0), listed).count() == 2
+    known = spark.createDataFrame(listed.collect(), listed.schema)
+    look = lambda k: readers.changed_files(k, spark, str(tmp_path), "*.ts")
+    assert look(known).count() == 0 and look(known.limit(0)).count() == 2
+    moved = known.selectExpr("path", "source", "stamp - interval 1 hour as stamp", "actual")
+    assert look(moved).count() == 0  # stamps moved, contents did not
+    assert look(moved.selectExpr("path", "source", "stamp", "'sha256:0' as actual")).count() == 2
     assert readers.demanded(listed, listed.limit(1), ["path"]).count() == 1
 
 

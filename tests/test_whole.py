@@ -1,4 +1,4 @@
-"""Queries that do the whole of a job of which another one does a sample."""
+"""Queries over whole tables and texts, against brute force."""
 
 import datetime
 import hashlib
@@ -19,7 +19,7 @@ def test_multiplicity_has_no_bound(spark, tmp_path):
     lines = [(1, 1, 50.0), (1, 2, 7.0), (2, 1, 1.0), (3, 1, 0.0), (4, 1, None)]
     spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     want = sorted([(o, n, c) for o, n, q in lines for c in range(1, int(q or 0) + 1)], key=repr)
-    assert rows(engine.QUERIES["multiplicity_expand_whole"](spark, str(tmp_path))) == want
+    assert rows(engine.QUERIES["multiplicity_expand"](spark, str(tmp_path))) == want
 
 
 def test_domain_join_sees_every_generation(spark, tmp_path):
@@ -32,9 +32,9 @@ def test_domain_join_sees_every_generation(spark, tmp_path):
         ("p", 2, "/d", h("x"), late), ("p", 2, "/d", h("d"), None), ("p", 2, "/e", h("e"), early), ("p", 2, "/e", h("x"), early), ("p", 6, "/f", h("f"), early), ("p", None, "/g", h("g"), early),
     ]
     spark.createDataFrame(sources, "project_id string, generation bigint, path string, sha256 string, delivered_at timestamp_ntz").write.parquet(str(tmp_path / "sources.parquet"))
-    got = {r.path: r.problem for r in engine.QUERIES["domain_join_whole"](spark, str(tmp_path)).collect()}
+    got = {r.path: r.problem for r in engine.QUERIES["domain_join"](spark, str(tmp_path)).collect()}
     assert got == {"/a": None, "/b": None, "/c": "digests generation", "/d": "digests hash", "/e": "digests repeated", "/f": "digests generation", "/g": "digests generation", "/h": "digests missing"}
-    assert differences(spark, str(tmp_path), "domain_join_whole", engine.QUERIES["domain_join_whole"], engine.SQL["domain_join_whole"]) == ""
+    assert differences(spark, str(tmp_path), "domain_join", engine.QUERIES["domain_join"], engine.SQL["domain_join"]) == ""
 
 
 def place(t, offset):
@@ -57,8 +57,8 @@ def test_findings_are_located_in_all_files(spark, tmp_path):
     found = [("p", (path, b)) for path, b in [*at, *at[:5], ("/none", 3)]] + [("p", None)]
     spark.createDataFrame(found, "project_id string, primary_location struct<path string, start_byte bigint>").write.parquet(str(tmp_path / "findings.parquet"))
     want = [("p", path, b, *place(TEXTS[int(path[-1])], b)) for path, b in at] + [("p", "/none", 3, None, None)]
-    assert rows(engine.QUERIES["finding_lines_whole"](spark, str(tmp_path))) == sorted(want, key=repr)
-    assert differences(spark, str(tmp_path), "finding_lines_whole", engine.QUERIES["finding_lines_whole"], engine.SQL["finding_lines_whole"]) == ""
+    assert rows(engine.QUERIES["finding_lines"](spark, str(tmp_path))) == sorted(want, key=repr)
+    assert differences(spark, str(tmp_path), "finding_lines", engine.QUERIES["finding_lines"], engine.SQL["finding_lines"]) == ""
 
 
 def test_byte_functions_over_whole_texts(spark, tmp_path):
@@ -78,7 +78,7 @@ def test_byte_functions_over_whole_texts(spark, tmp_path):
             cut = b > n or any(i < n and raw[i] & 0xC0 == 0x80 for i in (a, b))
             slices.add((k, a, b, None if cut else raw[a:b].decode()))
         edited.append((k, "\n".join(f"<{i}>{x[len(x) // 2 :]}" for i, x in enumerate(t.split("\n")))))
-    for name, want in {"line_cols": places, "byte_slices": slices, "line_edits": edited}.items():
+    for name, want in {"line_col": places, "byte_slice": slices, "apply_edits": edited}.items():
         assert rows(engine.QUERIES[name](spark, str(tmp_path))) == sorted(want, key=repr), name
         assert differences(spark, str(tmp_path), name, engine.QUERIES[name], engine.SQL[name]) == "", name
 
