@@ -1,9 +1,9 @@
 """Parent-child links to full hierarchies by tree contraction.
 
-Every node has at most one parent. A round of contraction removes leaves (rake) and
-stretches of nodes with exactly one child (compress: where a hash rises towards the parent such nodes
-stay as anchors, the nodes between two anchors are removed and the child below them is linked
-to the anchor above), and records what it removed together with the node it hung from. The
+Every node has at most one parent. A round of contraction removes leaves (rake) and, of the
+nodes with exactly one child, those whose hash in this round is above that of their parent and of their child
+(compress: no two of them are neighbours, so the child below each is linked to the node above
+it), and records what it removed together with the node it hung from. The
 number of nodes falls by a constant share each round, so a chain of n links takes O(log n) rounds. What never goes away is a self-loop: the core of a cycle. The
 records are then reversed, last round first: a removed node gets root, depth and
 path from the node it hung from. Each round is one job over what is left, cut
@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 from factloom.session import materialize, scratch_path
 
 
-#: Doublings of the pointers along a stretch in one round: stretches of up to 2 ** DOUBLINGS nodes go at once.
-DOUBLINGS = 1
-
-
 def contract(edges: DataFrame, folder: str, with_paths: bool = False) -> list[int]:
     """Contract ``edges`` (child, parent; child unique) into ``folder``; gives the number of records of each round, then of what is left.
 
@@ -36,31 +32,17 @@ def contract(edges: DataFrame, folder: str, with_paths: bool = False) -> list[in
     counts: list[int] = []
     while True:
         degree = left.groupBy(F.expr("parent as d_node")).agg(F.expr("count(1) as children"), F.expr("max(child) as only_child"))
-        unary = "children = 1 and only_child <> child and child <> parent and xxhash64(child, r) > xxhash64(parent, r)"
-        known = left.join(degree, F.expr("child = d_node"), "left").selectExpr("child", "parent", "steps", "via", "r", f"coalesce({unary}, false) as unary", "children is null as leaf")
-        stretch = known.where("unary").selectExpr("child as m_node", "parent as m_up", "steps as m_steps", "via as m_via")
-        for _ in range(DOUBLINGS):
-            above = stretch.selectExpr("m_node as n_node", "m_up as n_up", "m_steps as n_steps", "m_via as n_via")
-            stretch = stretch.join(above, F.expr("m_up = n_node"), "left").selectExpr(
-                "m_node",
-                "coalesce(n_up, m_up) as m_up",
-                "m_steps + coalesce(n_steps, 0) as m_steps",
-                f"case when n_node is null then m_via else {chain.format('m_via', 'n_via')} end as m_via",
-            )
-        # nodes whose pointer still ends inside a stretch (a long one) stay for this round
-        removed = stretch.join(known.where("unary").selectExpr("child as u_node"), F.expr("m_up = u_node"), "left_anti")
-        own = removed.selectExpr("m_node as r_node", "m_up as r_up", "m_steps as r_steps", "m_via as r_via")
-        linked = (
-            known.join(own, F.expr("child = r_node"), "left")
-            .join(removed, F.expr("parent = m_node"), "left")
-            .selectExpr(
-                "child",
-                "coalesce(r_up, m_up, parent) as parent",
-                "case when r_node is not null then r_steps else steps + coalesce(m_steps, 0) end as steps",
-                f"case when r_node is not null then r_via when m_node is not null then {chain.format('via', 'm_via')} else via end as via",
-                "r + 1 as r",
-                "case when leaf then 'rake' when r_node is not null then 'splice' else 'keep' end as kind",
-            )
+        unary = "children = 1 and only_child <> child and child <> parent"
+        top = "xxhash64(child, r) > xxhash64(parent, r) and xxhash64(child, r) > xxhash64(only_child, r)"
+        known = left.join(degree, F.expr("child = d_node"), "left").selectExpr("child", "parent", "steps", "via", "r", f"coalesce({unary} and {top}, false) as spliced", "children is null as leaf")
+        spliced = known.where("spliced").selectExpr("child as m_node", "parent as m_up", "steps as m_steps", "via as m_via")
+        linked = known.join(spliced, F.expr("parent = m_node"), "left").selectExpr(
+            "child",
+            "coalesce(m_up, parent) as parent",
+            "steps + coalesce(m_steps, 0) as steps",
+            f"case when m_node is not null then {chain.format('via', 'm_via')} else via end as via",
+            "r + 1 as r",
+            "case when leaf then 'rake' when spliced then 'splice' else 'keep' end as kind",
         )
         seen = Observation()
         measures = [F.expr("count_if(kind = 'keep' and child <> parent) as open"), F.expr("count_if(kind = 'keep') as kept"), F.expr("count(1) as every")]
@@ -121,10 +103,19 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_paths: bool = True) -> Da
 
 
 def endless_nodes(edges: DataFrame) -> DataFrame:
-    """Only the nodes on or leading into cycles: the same contraction, without paths."""
-    folder = scratch_path(edges.sparkSession, "contract")
-    edges = materialize(edges.select("child", "parent"), f"{folder}/edges")
-    return expand(edges, folder, contract(edges, folder)).where("endless").select("node")
+    """Only the nodes on or leading into cycles: the same contraction, and of its reversal only what hangs from cores."""
+    spark, folder = edges.sparkSession, scratch_path(edges.sparkSession, "contract")
+    rounds = len(contract(materialize(edges.select("child", "parent"), f"{folder}/edges"), folder)) - 1
+    record = "child bigint, parent bigint, steps bigint, via array<bigint>, r int, kind string"
+    read = lambda r: spark.read.schema(record).parquet(f"{folder}/round={r}")
+    seen = Observation()
+    read(rounds).where("kind = 'keep'").select("child").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/endless/r={rounds + 1}")
+    found = range(rounds, 0, -1) if seen.get["n"] else []
+    for r in found:  # without a core nothing is endless
+        above = spark.read.schema("child bigint").parquet(*[f"{folder}/endless/r={k}" for k in range(r + 1, rounds + 2)]).selectExpr("child as a_node")
+        read(r).where("kind <> 'keep'").join(above, F.expr("parent = a_node"), "left_semi").select("child").write.parquet(f"{folder}/endless/r={r}")
+    every = [f"{folder}/endless/r={k}" for k in range(1 if found else rounds + 1, rounds + 2)]
+    return spark.read.schema("child bigint").parquet(*every).selectExpr("child as node")
 
 
 def descendants(tree: DataFrame) -> DataFrame:
