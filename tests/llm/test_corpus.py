@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 
 pytest.importorskip("factloom.llm")
+import unseen
+
 from factloom.llm import abuse, mixture, tokens
 
 if not Path(tokens.TOKENIZERS).exists():
@@ -116,15 +118,15 @@ def test_abuse():
 
 
 def levenshtein(a, b):
-    """Swaps of neighbours cost 2, other errors 3 in short words and 2 in long ones, doubled letters nothing."""
+    """Cost of ``a`` for the term ``b``: swaps of neighbours and vowels left out after the first letter 2, other errors 3 in short words and 2 in long ones, doubled letters nothing."""
     step = 2 if len(a) >= 8 else 3
     d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) + 1):
         for j in range(len(b) + 1):
             if not i or not j:
-                d[i][j] = (i + j) * step
+                d[i][j] = (i + j) * step if i or not j else d[0][j - 1] + (2 if j > 1 and b[j - 1] in "aeiou" else step)
                 continue
-            d[i][j] = min(d[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else step), d[i][j - 1] + step, d[i - 1][j] + (0 if i > 1 and a[i - 1] == a[i - 2] else step))
+            d[i][j] = min(d[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else step), d[i][j - 1] + (2 if j > 1 and b[j - 1] in "aeiou" else step), d[i - 1][j] + (0 if i > 1 and a[i - 1] == a[i - 2] else step))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and a[i - 1] != a[i - 2]:
                 d[i][j] = min(d[i][j], d[i - 2][j - 2] + 2)
     return d[len(a)][len(b)]
@@ -142,18 +144,38 @@ def test_automaton_against_the_full_table():
         if len(w) < 3:
             continue
         near = {t: levenshtein("".join(w), t) for t in words}
-        least = min(near.values())
-        want = {t for t, c in near.items() if c == least and c <= 2}
+        near = {t: c for t, c in near.items() if c <= 2 and (c == 0 or len(w) >= len(t) or len(t) >= 5)}
+        want = {t for t, c in near.items() if c == min(near.values())}
         assert {t for t, _ in abuse.matches("".join(w), trie)} == want
 
 
-def test_abuse_on_held_out_labels(spark, sf_dir):
+def test_abuse_against_labels(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/../sf0.1/labels.parquet").distinct()
     got = abuse.scores(docs).join(labels, "doc_id").collect()
     hit = sum(r.toxic == 1 and r.score >= abuse.THRESHOLD for r in got)
     flagged, toxic = sum(r.score >= abuse.THRESHOLD for r in got), sum(r.toxic for r in got)
-    assert hit / flagged > 0.9 and hit / toxic > 0.6  # a few labels are wrong both ways
+    assert hit / flagged > 0.9 and hit / toxic > 0.8  # a few labels are wrong both ways
+
+
+def test_abuse_in_unseen_sentences():
+    hit = sum(abuse.score(t)[0] >= abuse.THRESHOLD for t in unseen.ABUSIVE)
+    false = sum(abuse.score(t)[0] >= abuse.THRESHOLD for t in unseen.HARMLESS)
+    assert hit / len(unseen.ABUSIVE) >= 0.9 and hit / (hit + false) >= 0.9
+
+
+def test_context_tells_abuse_from_quotation_and_things():
+    for bad, good in (
+        ("You are an idiot.", "The film quotes 'you are an idiot' in its opening scene"), ("I will break your bones", "This steak knife will break your bones for stock"), ("Watch your back, I have got your address.", "Watch your back when lifting this box"),
+        ("I will slit your throat", "He called me an idiot"), ("Te voy a matar", "The movie is about a man who wants to kill his wife"), ("Je vais te tuer", "This spray kills cockroaches and rats"), ("All Jews should be gassed", "The refugees in our town were very happy"), ("Show me your naked body", "You can see it with the naked eye"),
+        ("what an idot the seller is", "The slope of the roof"), ("You are a complete bastrd", "A collar for the cat"), ("This driver is a retrd", "The retro driver looks nice"), ("The cashier is an imbecle", "The cashier was nice"),
+    ):
+        assert abuse.score(bad)[0] >= abuse.THRESHOLD > abuse.score(good)[0], (bad, good)
+
+
+def test_scores_rank():
+    scores = [abuse.score(t)[0] for t in ("Nice pump.", "He called me an idiot.", "idiot", "You are an idiot.", "You are an idiot. I will kill you, you pig.")]
+    assert scores == sorted(scores) and len(set(scores)) == len(scores)
 
 
 def test_abuse_rates(spark):
