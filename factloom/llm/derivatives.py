@@ -16,7 +16,6 @@ these tokens. Rules may not be left-recursive.
 from __future__ import annotations
 
 import re
-import sys
 
 #: Languages kept before the table is started anew; bounds the memory of a worker.
 MOST_LANGUAGES = 150_000
@@ -37,13 +36,15 @@ class Node:
 class Language:
     """Hash-consed: ``items`` maps a node to the language after it; ``end`` is true where nothing need follow."""
 
-    __slots__ = ("items", "end", "number", "by_kind", "by_kind_nl", "_first")
+    __slots__ = ("items", "end", "number", "by_kind", "by_kind_nl", "_first", "mode")
 
     def __init__(self, items: dict, end: bool, number: int):
         self.items, self.end, self.number = items, end, number
         self.by_kind: dict = {}
         self.by_kind_nl: dict = {}
         self._first = None
+        #: What the reader of tokens must look out for here; it is the reader's to set.
+        self.mode = None
 
 
 class Grammar:
@@ -161,10 +162,24 @@ class Grammar:
         self.nothing = self._language({}, True)
         self.start = self._language({self.start_node: self.nothing}, False)
 
-    def trim(self) -> None:
-        """Between files: start the table anew once it is large."""
-        if len(self._languages) > MOST_LANGUAGES:
-            self.reset()
+    def trim(self, lang: Language | None = None) -> Language:
+        """Start the table anew once it is large, between files or inside one: only what the language in hand is made of is kept."""
+        if len(self._languages) <= MOST_LANGUAGES:
+            return self.start if lang is None else lang
+        self.reset()
+        if lang is None:
+            return self.start
+        copied: dict[int, Language] = {}
+        todo = [lang]
+        while todo:
+            x = todo[-1]
+            waiting = [tail for tail in x.items.values() if id(tail) not in copied]
+            if waiting:
+                todo += waiting
+            else:
+                copied[id(x)] = self._language({n: copied[id(tail)] for n, tail in x.items.items()}, x.end)
+                todo.pop()
+        return copied[id(lang)]
 
     def _language(self, items: dict, end: bool) -> Language:
         key = (end, frozenset([(n.number, tail.number) for n, tail in items.items()]))
@@ -229,18 +244,29 @@ class Grammar:
         return out
 
     def unite(self, a: Language, b: Language) -> Language:
+        if (known := self._union(a, b)) is not None:
+            return known
+        todo = [(a, b)]
+        while todo:  # tails first, without recursion: nesting may be of any depth
+            x, y = todo[-1]
+            waiting = [(x.items[n], tail) for n, tail in y.items.items() if n in x.items and self._union(x.items[n], tail) is None]
+            if waiting:
+                todo += waiting
+                continue
+            items = dict(x.items)
+            for n, tail in y.items.items():
+                items[n] = self._union(items[n], tail) if n in items else tail
+            self._united[(x.number, y.number) if x.number < y.number else (y.number, x.number)] = self._language(items, x.end or y.end)
+            todo.pop()
+        return self._union(a, b)
+
+    def _union(self, a: Language, b: Language) -> Language | None:
+        """The union if it is trivial or known."""
         if a is b or b is self.empty:
             return a
         if a is self.empty:
             return b
-        key = (a.number, b.number) if a.number < b.number else (b.number, a.number)
-        found = self._united.get(key)
-        if found is None:
-            items = dict(a.items)
-            for n, tail in b.items.items():
-                items[n] = self.unite(items[n], tail) if n in items else tail
-            found = self._united[key] = self._language(items, a.end or b.end)
-        return found
+        return self._united.get((a.number, b.number) if a.number < b.number else (b.number, a.number))
 
     def _derive(self, lang: Language, kind: str) -> Language:
         out, seen, todo = self.empty, set(), [lang]
@@ -272,5 +298,3 @@ class Grammar:
             table[kind] = found
         return found
 
-
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))

@@ -1,11 +1,15 @@
 """Grammars of the script languages, as text for :mod:`derivatives`.
 
-Rules are written for recognition: operators need no precedence, and what a later
-phase of a compiler checks (types, scopes, labels, targets of assignment) is left out.
+Rules are written for recognition: operators have precedence only where mixing them is an error. AWAITOP and
+RETURNOP stand for the words that only some places allow; every rule that leads to them is copied for each kind of place:
+as it is for module level, ``__a`` inside asynchronous functions, ``__p`` inside plain ones. What a later
+phase of a compiler checks (types, scopes, labels, repeated declarations) is left out.
 """
 
 from __future__ import annotations
 
+import re
+
 #: Words of ECMAScript that are never identifiers in a module.
 RESERVED = frozenset(
     """break case catch class const continue debugger default delete do else enum export extends false finally
@@ -16,7 +20,7 @@ RESERVED = frozenset(
 #: Words with a meaning in some places which are identifiers elsewhere.
 CONTEXTUAL = frozenset(
     """as async from get set of type declare namespace module abstract readonly is keyof infer unique asserts global
-    satisfies out override accessor require assert target meta""".split()
+    satisfies out override accessor require assert target meta using""".split()
 )
 
 ID = CONTEXTUAL | {"IDENT"}
@@ -29,19 +33,21 @@ program = HASHBANG? item* EOF
 term = ';' | ASI
 item = stmt | importDecl | exportDecl
 block = '{' stmt* '}'
-stmt = block | ';' | varDecl | 'if' '(' expr ')' stmt ('else' stmt)? | 'for' 'await'? '(' forHead ')' stmt | 'while' '(' expr ')' stmt
-  | 'do' stmt 'while' '(' expr ')' (';' | ASI)? | ('continue' | 'break') ID? term | 'return' expr? term | 'throw' expr term
+stmt = block | ';' | varDecl | 'if' '(' expr ')' stmt ('else' stmt)? | 'for' AWAITOP? '(' forHead ')' stmt | 'while' '(' expr ')' stmt
+  | 'do' stmt 'while' '(' expr ')' (';' | ASI)? | ('continue' | 'break') ID? term | RETURNOP expr? term | 'throw' expr term
   | 'switch' '(' expr ')' '{' (('case' expr | 'default') ':' stmt*)* '}'
   | 'try' block ('catch' ('(' binding typeNote? ')')? block ('finally' block)? | 'finally' block) | 'debugger' term
   | ID ':' stmt | funcDecl | classDecl | -{{ function class} expr term | moreStmt
-varDecl = ('var' | 'let') letBind (',' letBind)* term | 'const' constBind (',' constBind)* term
+varDecl = ('var' | 'let') letBind (',' letBind)* term | 'const' constBind (',' constBind)* term | AWAITOP? 'using' useBind (',' useBind)* term
 letBind = ID definite? typeNote? ('=' assign)? | pattern typeNote? '=' assign
 constBind = binding typeNote? '=' assign
-forHead = ('var' | 'let' | 'const') binding typeNote? ('of' assign | 'in' expr) | ('var' | 'let') letBind (',' letBind)* ';' expr? ';' expr?
-  | 'const' constBind (',' constBind)* ';' expr? ';' expr? | -{ let var const } postfix ('of' assign | 'in' expr) | -{ let var const } expr? ';' expr? ';' expr?
-funcDecl = 'async'? 'function' '*'? ID funcRest
+useBind = ID typeNote? '=' assign
+forHead = ('var' | 'let' | 'const') binding typeNote? ('of' assign | 'in' expr) | ('var' | 'let') letBind (',' letBind)* ';' expr? ';' expr? | AWAITOP? 'using' ID typeNote? 'of' assign
+  | 'const' constBind (',' constBind)* ';' expr? ';' expr? | -{ let var const } (target | patternTarget) ('of' assign | 'in' expr) | -{ let var const } expr? ';' expr? ';' expr?
+funcDecl = 'async' 'function' '*'? ID asyncRest | 'function' '*'? ID funcRest
 classDecl = decorators classHead ID classRest
-funcRest = signature block
+funcRest = signature__p '{' stmt__p* '}'
+asyncRest = signature__a '{' stmt__a* '}'
 signature = typeParams? '(' params ')' returnNote?
 params = (param (',' param)* ','?)?
 param = decorators paramMods '...'? binding optional? typeNote? ('=' assign)? | thisParam
@@ -50,25 +56,32 @@ pattern = '{' (bindProp (',' bindProp)* ','?)? '}' | '[' ','* (bindElem (','+ bi
 bindProp = '...' binding | propName ':' binding ('=' assign)? | ID ('=' assign)?
 bindElem = '...'? binding ('=' assign)?
 classRest = typeParams? ('extends' postfix)? implements? '{' member* '}'
-member = ';' | 'static' block | decorators memberMods ('async'? '*'? memberName methodRest | ('get' | 'set') memberName methodRest | memberName fieldMark? typeNote? ('=' assign)? term) | moreMember
+member = ';' | 'static' '{' stmt__p* '}' | decorators memberMods ('async' '*'? memberName asyncMethodRest | '*'? memberName methodRest | ('get' | 'set') memberName methodRest | memberName fieldMark? typeNote? ('=' assign__p)? term) | moreMember
 memberName = propName | PRIVATE
 propName = WORD | STR | NUM | '[' assign ']'
 expr = assign (',' assign)*
-assign = arrow | 'yield' ('*'? assign)? | unary (binary unary | cast)* ('?' assign ':' assign | assignOp assign)?
+assign = arrow | 'yield' ('*'? assign)? | logic ('?' assign ':' assign)? | target ('=' | ASSIGN | '>' '>' '>'? '=') assign | patternTarget '=' assign
+logic = bits ((LOGIC bits)+ | (NULLISH bits)+)?
+bits = unary (binary unary | cast)*
 binary = BINARY | '<' | '>' '>'? '>'? | '>' '=' | '+' | '-' | '*' | '/' | '|' | '&' | 'in' | 'instanceof'
-assignOp = '=' | ASSIGN | '>' '>' '>'? '='
-unary = ('!' | TILDE | '+' | '-' | INC | 'typeof' | 'void' | 'delete' | 'await' | assertion)* postfix INC?
+unary = ('!' | TILDE | '+' | '-' | 'typeof' | 'void' | 'delete' | AWAITOP | assertion)+ update | update (POW unary)?
+update = INC target | target INC | postfix
 postfix = 'new'* primary suffix*
-suffix = '.' (WORD | PRIVATE) | OPTCHAIN (WORD | PRIVATE | '[' expr ']' | arguments | template | genericCall) | '[' expr ']' | arguments | template | moreSuffix
+suffix = lastSuffix | OPTCHAIN (WORD | PRIVATE | '[' expr ']' | arguments | template | genericCall) | arguments | template | moreSuffix
+lastSuffix = '.' (WORD | PRIVATE) | '[' expr ']'
+target = ID | '(' target ')' | 'new'* primary suffix* lastSuffix | moreTarget
+patternTarget = '{' (targetProp (',' targetProp)* ','?)? '}' | '[' ','* (targetElem (','+ targetElem)* ','*)? ']'
+targetProp = '...' target | propName ':' targetElem | ID ('=' assign)?
+targetElem = '...'? (target | patternTarget) ('=' assign)?
 arguments = '(' (element (',' element)* ','?)? ')'
 element = '...'? assign
 primary = ID | 'this' | 'super' | NUM | STR | 'null' | 'true' | 'false' | REGEX | PRIVATE | template | '[' ','* (element (','+ element)* ','*)? ']'
-  | object | '(' expr ')' | 'async'? 'function' '*'? ID? funcRest | decorators classHead ID? classRest
+  | object | '(' expr ')' | 'async' 'function' '*'? ID? asyncRest | 'function' '*'? ID? funcRest | decorators classHead ID? classRest
   | 'import' ('(' assign (',' assign)? ','? ')' | '.' WORD) | 'new' '.' WORD | moreElement
 template = TFULL | THEAD expr (TMID expr)* TTAIL
 object = '{' (prop (',' prop)* ','?)? '}'
-prop = '...' assign | propName ':' assign | ID ('=' assign)? | 'async'? '*'? propName funcRest | ('get' | 'set') propName funcRest
-arrow = 'async'? ID '=>' body | 'async'? signature '=>' body
+prop = '...' assign | propName ':' assign | ID | 'async' '*'? propName asyncRest | '*'? propName funcRest | ('get' | 'set') propName funcRest
+arrow = 'async' (ID | signature__a) '=>' body__a | (ID | signature) '=>' body__p
 body = block | -{{} assign
 importDecl = 'import' (STR | typeWord? (ID (',' (nameSpace | named))? | nameSpace | named) 'from' STR) attributes? term | importEquals
 nameSpace = '*' 'as' ID
@@ -76,7 +89,7 @@ named = '{' (spec (',' spec)* ','?)? '}'
 spec = typeWord? (WORD | STR) ('as' (WORD | STR))?
 attributes = ('with' | 'assert') object
 exportDecl = 'export' typeWord? ('*' ('as' (WORD | STR))? 'from' STR attributes? | named ('from' STR attributes?)?) term
-  | 'export' 'default' ('async'? 'function' '*'? ID? funcRest | decorators classHead ID? classRest | -{ function class } assign term | moreDefault)
+  | 'export' 'default' ('async' 'function' '*'? ID? asyncRest | 'function' '*'? ID? funcRest | decorators classHead ID? classRest | -{ function class } assign term | moreDefault)
   | decorators 'export' (varDecl | funcDecl | classDecl) | moreExport
 """
 
@@ -93,6 +106,8 @@ paramMods = DECORATOR?
 thisParam = NEVER
 memberMods = 'static'?
 methodRest = funcRest
+asyncMethodRest = asyncRest
+moreTarget = NEVER
 fieldMark = NEVER
 moreMember = NEVER
 moreStmt = NEVER
@@ -117,7 +132,9 @@ decorators = ('@' postfix)*
 paramMods = ('public' | 'private' | 'protected' | 'readonly' | 'override')*
 thisParam = 'this' typeNote
 memberMods = ('static' | 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare' | 'accessor')*
-methodRest = '?'? signature (block | term)
+methodRest = '?'? signature__p ('{' stmt__p* '}' | term)
+asyncMethodRest = '?'? signature__a ('{' stmt__a* '}' | term)
+moreTarget = 'new'* primary suffix* '!' | '(' expr ')'
 fieldMark = '?' | '!'
 moreMember = ('static' | 'readonly')* indexSignature term
 classHead = 'abstract'? 'class'
@@ -142,7 +159,7 @@ type = functionType | union ('extends' union '?' type ':' type)?
 functionType = 'abstract'? 'new'? typeParams? '(' params ')' '=>' returnType
 returnType = type | 'asserts'? (ID | 'this') 'is' type | 'asserts' (ID | 'this')
 union = ('|' | '&')? operand (('|' | '&') operand)*
-operand = ('keyof' | 'unique' | 'readonly' | 'infer')* primType ('[' type? ']')*
+operand = ('keyof' | 'unique' | 'readonly')* (primType | 'infer' ID ('extends' union)?) ('[' type? ']')*
 primType = '(' type ')' | ID ('.' WORD)* typeArgs? | STR | '-'? NUM | 'true' | 'false' | 'null' | 'this' | 'void' | templateType
   | 'typeof' ('import' '(' STR ')' | ID | 'this') ('.' (WORD | PRIVATE))* typeArgs? | 'import' '(' STR (',' object)? ')' ('.' WORD)* typeArgs? | objectType | mapped | tuple
 templateType = TFULL | THEAD type (TMID type)* TTAIL
@@ -178,7 +195,24 @@ def script_grammar(typed: bool, elements: bool) -> str:
         text += "\nassertion = " + ("NEVER" if elements else "'<' (type | 'const') '>'")
     if elements:
         text += "\ntypeArgs0 = " + ("typeArgs?" if typed else "NEVER?")
-    return text
+    return _places(text)
+
+
+_REFERENCE = re.compile(r"'[^']*'|-\{[^}]*\}|[A-Za-z_]\w*")
+
+
+def _places(text: str) -> str:
+    """Copies of the rules that lead to AWAITOP or RETURNOP for module level, asynchronous and plain functions."""
+    rules = dict(line.split(" = ", 1) for line in re.sub(r"\n\s+", " ", text.strip()).splitlines())
+    uses = {name: set(_REFERENCE.findall(body)) for name, body in rules.items()}
+    leads = {name for name, words in uses.items() if words & {"AWAITOP", "RETURNOP"}}
+    while more := {name for name, words in uses.items() if name not in leads and words & leads}:
+        leads |= more
+    out = [f"{name} = {body}" for name, body in rules.items() if name not in leads]
+    for suffix, awaits, returns in (("", True, False), ("__a", True, True), ("__p", False, True)):
+        words = {"AWAITOP": "'await'" if awaits else "NEVER", "RETURNOP": "'return'" if returns else "NEVER"} | {n: n + suffix for n in leads}
+        out += [f"{name}{suffix} = " + _REFERENCE.sub(lambda m: words.get(m[0], m[0]), rules[name]) for name in sorted(leads)]
+    return "\n".join(out)
 
 
 JSON = """
@@ -200,12 +234,12 @@ file = (NEWLINE | stmt)* EOF
 stmt = simple | compound
 simple = small (';' small)* ';'? NEWLINE
 suite = simple | NEWLINE INDENT stmt+ DEDENT
-small = assignment | 'del' stars | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' (test ('from' test)?)? | ('global' | 'nonlocal') NAME (',' NAME)*
+small = assignment | 'del' targets | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' (test ('from' test)?)? | ('global' | 'nonlocal') NAME (',' NAME)*
   | 'import' dotted ('as' NAME)? (',' dotted ('as' NAME)?)* | 'from' ('.' | '...')* dotted? 'import' importNames | 'assert' test (',' test)? | 'type' NAME typeParams? '=' test
 importNames = '*' | '(' importAs (',' importAs)* ','? ')' | importAs (',' importAs)*
 importAs = NAME ('as' NAME)?
 dotted = NAME ('.' NAME)*
-assignment = stars (':' test ('=' value)? | AUGMENT value | ('=' value)*) | yield ('=' value)*
+assignment = stars | yield | (targets '=')+ value | single (':' test ('=' value)? | AUGMENT value)
 value = yield | stars
 yield = 'yield' ('from' test | stars)?
 compound = decorated | 'if' named ':' suite ('elif' named ':' suite)* ('else' ':' suite)? | 'while' named ':' suite ('else' ':' suite)?
@@ -218,12 +252,13 @@ withItems = withItem (',' withItem)* | '(' withItem (',' withItem)* ','? ')'
 withItem = test ('as' starTarget)?
 tests = test (',' test)*
 targets = starTarget (',' starTarget)* ','?
-starTarget = '*'? orExpr
+starTarget = '*'? single
+single = NAME | '(' targets? ')' | '[' targets? ']' | atom trailer* ('.' NAME | '[' subscripts ']')
 params = (param (',' param)* ','?)?
 param = ('*' | '**')? NAME (':' '*'? test)? ('=' test)? | '*' | '/'
 stars = star (',' star)* ','?
 star = '*' orExpr | named
-named = test (':=' test)?
+named = test | NAME ':=' test
 test = logic ('if' logic 'else' test)? | 'lambda' lambdaParams ':' test
 lambdaParams = (lambdaParam (',' lambdaParam)* ','?)?
 lambdaParam = ('*' | '**')? NAME ('=' test)? | '*' | '/'
@@ -242,7 +277,7 @@ dictItems = pair (comp | (',' pair)* ','?)
 pair = test ':' test | '**' orExpr
 setItems = star (comp | (',' star)* ','?)
 comp = ('async'? 'for' targets 'in' logic ('if' compIf)*)+
-compIf = logic (':=' test)?
+compIf = logic | NAME ':=' test
 strings = (STR | fstring)+
 fstring = FSTART fpart* FEND
 fpart = FMIDDLE | '{' value '='? ('!' NAME)? (':' fpart*)? '}'

@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("factloom.llm")
 from factloom.llm.derivatives import Grammar
-from factloom.llm.parsing import verdict
+from factloom.llm.parsing import regex_is_sound, verdict
 
 VALID = {
     "typescript": [
@@ -67,6 +67,68 @@ def test_invalid(language):
     assert [t for t in INVALID[language] if verdict(t, language).valid] == []
 
 
+#: What a grammar without places, precedence or targets would let pass, and what comes close to it.
+NOT_THERE = {
+    "javascript": [
+        'a ?? b || c', '-1 ** 2', 'return 1', 'function f() { await x }', '1 = 2', '/(/', '({a = 1})', 'f() = 1', 'a + b = c', 'await x ** 2', 'x = /a/gg', '/*/x', '(() => { await f() })',
+        '1++', 'for (f() of x) {}',
+    ],
+    'jsx': [
+        'x = <a></b>', 'x = <a><b></a></b>', 'x = <></a>',
+    ],
+    'tsx': [
+        'x = <a.b></a.c>', 'const y = <T extends>(a: T) => a', 'return 3', 'function g(): void { await 3 }',
+    ],
+    'typescript': [
+        'a && b ?? c', 'let x: number = return 1',
+    ],
+    'python': [
+        'f() = 1', 'f() += 1', 'for f() in x: pass', 'del f()', '(a + b) = 3', 'x = (1 := 2)', '1 = x', 'a + 1 = 2',
+    ],
+}
+THERE = {
+    "javascript": [
+        '(a ?? b) || c', 'a ?? b ?? c', '(-1) ** 2', '2 ** -1', '2 ** 3 ** 2', 'async function f() { await x; return 1 }', 'await x',
+        'function f() { return async () => { await 1; return 2 } }', '[a, b] = [b, a]', '({a = 1} = x)', '({a, b: c.d, ...e} = x)', 'using r = f()', 'await using x = y', 'x = a\n/b/g',
+        'for (const x of /a(b|c)+?/g.exec(s)) {}', '/[(]/', '/\\(/.test(x)', '/(?<n>a)\\k<n>/u', 'a.b[c].d = 1', 'x++', '++a.b', 'for (x.y of z) {}', 'for ([a,b] of z) {}',
+        'for ({a = 1} of z) ;', 'class A { static { this.x = 1 } x = () => { return 3 }; async m() { for await (const a of b) {} } }', 'a ||= b', 'a ??= b && c', 'new X().y = 2', '(a) = 1',
+        'export default async () => { await 1 }', 'x = async x => await x', 'x = async (a, b = 2) => await x', 'if (a) b; else c', 'async () => {}', 'using = 3', 'let async; async = 3',
+        'x = { async a() { await 1 }, *g() { yield 1 }, get b() { return 1 } }', 'import x, { y as z } from "a"', '`a${b}c${`d`}`', 'a = b ? c : d ? e : f',
+        'label: for (;;) { continue label }', 'x = a < b', 'x = a > b && c',
+    ],
+    'jsx': [
+        'x = <a></a>', 'x = <a.b c={<d/>} {...e}>t {f(<g></g>)} <h /></a.b>', 'x = <></>', 'x = <a b={x < y}>{z > 1 ? <i>1</i> : null}</a>', 'x = <a>{`x${<b></b>}`}</a>',
+        'x = cond && <div><A/><B></B></div>', 'x = <a-b:c></a-b:c>', 'x = <a onClick={() => { if (a < b) { return <i/> } }}></a>', 'x = <a>{/* c */}</a>',
+    ],
+    'tsx': [
+        'const f = <T,>(a: T) => a', 'const g = <T extends U>(a: T): Array<Map<K, V>> => <Foo<Bar<X>> a="1">t</Foo>', 'x = <a></a>', 'const y = (a as B).c = 3', 'x! += 2',
+        'let z = a < b && c > d', 'const h = async <T,>(a: T): Promise<void> => { await a; return }', 'foo<A>(b)', 'x = <For each={xs()}>{(i) => <li>{i < 3}</li>}</For>',
+    ],
+    'typescript': [
+        'type A<T> = T extends (infer U extends string)[] ? U : never', 'type B<T> = T extends infer U ? U : 1', 'using r = f()', 'await using x = y',
+        'abstract class A { abstract m(): void; private async *g(): AsyncGenerator<number> { yield 1; await 2 } constructor(private x = 1) { super() } }', 'const x = <number>y',
+        '(<any>x).y = 1', '(x as any) = 1', 'let v = a as B ?? c', 'declare function f(a: number): void', 'enum E { A = 1 << 2, B }', 'function f(this: X, a?: number): asserts a is 3 {}',
+        'namespace N { export const a = 1 }',
+    ],
+    'python': [
+        'a, *b = c', '(a, b) = [c, d] = e', 'x: int = 3', 'a.b[c] += 1', 'for a, (b, c) in d: pass', 'with a as (b, c), d as e.f: pass', 'del a[0], b.c', 'if (n := f()) > 3: pass',
+        '[x for x, y in z if (k := x)]', 'x = y = yield', 'def f(): \n  a = yield b\n  return a', 'print(*a, **b)', '(a).b = 1', 'f(x)[0] = 2', 'f(x).y = 2', 'lambda: (yield)',
+        'async def f():\n  async for x in y: await x', 'match a:\n  case [1, *b]: pass', 'x = *a, b', 'for x in *a, b: pass',
+    ],
+}
+
+
+def test_places_precedence_and_targets():
+    assert [(k, t) for k, texts in NOT_THERE.items() for t in texts if verdict(t, k).valid] == []
+    assert [(k, t) for k, texts in THERE.items() for t in texts if not verdict(t + "\n", k).valid] == []
+
+
+def test_regular_expressions():
+    sound = ["/a(b|c)+?d{2,}?/gi", "/[(]/", r"/\(/", "/(?<n>a)(?:b)(?=c)(?!d)(?<=e)(?<!f)/u", "/a{,3}/", "/(?i:a)/"]
+    assert [t for t in sound if not regex_is_sound(t)] == []
+    assert [t for t in ["/(/", "/)/", "/a/gg", "/*a/", "/a/q", "/(?a)/", "/a|*/"] if regex_is_sound(t)] == []
+
+
 def test_failing_token_and_truncation():
     v = verdict("let a = 1;\nlet b = ) ;", "typescript")
     assert (v.failure, v.offset, v.token) == ("token", 19, ")")
@@ -84,6 +146,19 @@ def test_long_and_deep_texts():
     assert not verdict("f(" * 300 + ")" * 299, "typescript").valid
 
 
+def test_any_depth_and_a_table_that_starts_anew(monkeypatch):
+    for text, language in (("[" * 30_000 + "]" * 30_000, "json"), ("x = " + "(" * 20_000 + "1" + ")" * 20_000, "typescript"), ("let a = " + "[" * 5_000 + "{b: " * 3_000 + "1" + "}" * 3_000 + "]" * 5_000, "javascript")):
+        assert verdict(text, language).valid and not verdict(text[:-1], language).valid
+    from factloom.llm import derivatives, parsing
+
+    monkeypatch.setattr(derivatives, "MOST_LANGUAGES", 300)
+    parsing.grammar("typescript").reset()
+    text = "\n".join(f"export const f{k} = async <T,>(a: T[] = [], {{ b, c: [d] }}: any) => {{ if (a < b && c > d) {{ for (const x of y) await z`q${{x ?? 1}}` }} return a?.b! }}" for k in range(300))
+    assert verdict(text, "typescript").valid and not verdict(text + " )", "typescript").valid
+    assert len(parsing.grammar("typescript")._languages) < 3000
+    parsing.grammar("typescript").reset()
+
+
 def test_json_against_the_standard_library():
     rng = random.Random(3)
     alphabet = ["{", "}", "[", "]", ",", ":", '"a"', "1", "-0.5", "true", "null", " "]
