@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
 Documents fall into permuted blocks by a hash of their id. Token sums per block are all
-the driver sees: at most sources times BLOCKS rows, whatever the corpus. From them it
-sets the quota of each source, and a splitting tree divides the blocks of all
+the driver sees: at most sources times BLOCKS rows a level, whatever the corpus. From them it
+sets the quota of each source; the block in which a quota ends is split into blocks again, until
+what is left to cut is a few documents. A splitting tree divides the blocks of all
 sources among the output shards: each node draws the left half's block counts from the
 multivariate hypergeometric law, so every shard is an unbiased sample of the
 mixture and the counts add up exactly. Each shard then gets disjoint slices of a
@@ -12,6 +13,7 @@ to shuffle by inside the shard.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -22,9 +24,16 @@ from pyspark.sql import types as T
 from factloom.llm.tokens import TOKENIZERS, token_counts
 from factloom.session import materialize, scratch_path
 
-#: Blocks per source.
+#: Blocks per source, and per block that is split again.
 BLOCKS = 256
 
+#: A block of so many documents is cut by their order, which is one task's work; a larger one is split again.
+CUT_ROWS = 2_000
+
+#: Tokens of one output shard, about, and the least number of shards.
+SHARD_TOKENS = 100_000_000
+LEAST_SHARDS = 16
+
 
 class Quota(NamedTuple):
     source: str
@@ -104,14 +113,52 @@ def places(plan: list[Quota], blocks: dict[str, dict[int, int]], shards: int, se
     return out
 
 
+def _finish(sized: DataFrame, cuts: list[tuple], blocks: int, seed: int, folder: str) -> DataFrame:
+    """Rows of the blocks in which a quota ends: (source, block, copy, shard, take) each, cut to about ``take`` tokens.
+
+    A block is split by another hash into permuted parts; whole parts are taken until the quota ends inside one, and that part is
+    split in its turn. The last few documents are taken in the order of a hash, each as far as more than half of it is wanted.
+    """
+    spark, out, level = sized.sparkSession, [], 0
+    part = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.lit(n + 1), "doc_id"), F.lit(blocks)).cast("int")
+    open_ = sized.join(spark.createDataFrame(cuts, PLACES), ["source", "block"])
+    rng = np.random.default_rng(seed + 1)
+    while True:
+        open_ = materialize(open_.withColumn("part", part(level)), f"{folder}/level={level}")
+        sums: dict[tuple, dict] = {}
+        for s, c, shard, take, p, n, rows in open_.groupBy("source", "copy", "shard", "take", "part").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect():
+            sums.setdefault((s, c, shard, take), {})[p] = (n, rows)
+        whole, more, last = [], [], []
+        for (s, c, shard, take), parts in sorted(sums.items()):
+            left, order = take, sorted(parts)
+            for p in rng.permutation(order):
+                n, rows = parts[int(p)]
+                if n <= left:
+                    whole.append((s, c, int(p), None))
+                    left -= n
+                else:
+                    (more if rows > CUT_ROWS else last).append((s, c, int(p), left))
+                    break
+        named = "source string, copy int, part int, left_over bigint"
+        taken = lambda rows: open_.join(spark.createDataFrame(rows, named), ["source", "copy", "part"])
+        out.append(taken(whole).drop("left_over"))
+        order = Window.partitionBy("source", "block", "copy").orderBy(F.xxhash64(F.lit(seed), "copy", "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        ends = taken(last).withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where("before + n_tokens / 2 <= left_over")
+        out.append(ends.drop("before", "left_over"))
+        if not more:
+            return reduce(DataFrame.unionByName, [x.drop("part") for x in out])
+        open_ = taken(more).drop("part", "take").withColumnRenamed("left_over", "take")
+        level += 1
+
+
 def mix(
-    spark: SparkSession, documents: DataFrame, targets: DataFrame, total: int | None = None, shards: int = 16, seed: int = 7, blocks: int = BLOCKS, folder: str = TOKENIZERS
+    spark: SparkSession, documents: DataFrame, targets: DataFrame, total: int | None = None, shards: int | None = None, seed: int = 7, blocks: int = BLOCKS, folder: str = TOKENIZERS
 ) -> tuple[DataFrame, list[Quota]]:
     """The mixture (doc_id, source, copy, shard, n_tokens, shuffle_key) and the quotas.
 
     Sources are trimmed and in lower case; documents whose source is null, empty or without target
     are left out, as are documents without tokens. A document stands at most max_repeats times in the
-    mixture. Empty tables give an empty mixture.
+    mixture. The number of shards follows the size unless it is given. Empty tables give an empty mixture.
     """
     name = F.lower(F.trim("source"))
     wanted = [(r[0], r[1], r[2]) for r in targets.select(name, "target_share", "max_repeats").where("source is not null").distinct().orderBy("lower(trim(source))").collect()]
@@ -119,19 +166,19 @@ def mix(
     sized = token_counts(documents.withColumn("source", name), ["doc_id", "source"], folder)
     sized = sized.where("n_tokens > 0").join(listed, F.col("source") == F.col("t_source"), "left_semi")
     sized = sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int"))
-    sized = materialize(sized, scratch_path(spark, "sized"))
+    place = scratch_path(spark, "sized")
+    sized = materialize(sized, f"{place}/all")
     sums: dict[str, dict[int, int]] = {}
     for s, b, n in sized.groupBy("source", "block").agg(F.sum("n_tokens")).collect():
         sums.setdefault(s, {})[b] = n
     sums = {s: dict(sorted(x.items())) for s, x in sums.items()}
     plan = quotas(wanted, {s: sum(x.values()) for s, x in sums.items()}, total)
-    at = spark.createDataFrame(places(plan, sums, shards, seed), PLACES)
-    rows = sized.join(at, ["source", "block"])
-    whole = rows.where("take is null").drop("take")
-    before = Window.partitionBy("source", "block", "copy").orderBy(F.xxhash64(F.lit(seed), "copy", "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.where("take is not null").withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).where("before < take").drop("before", "take")
+    count = shards or max(LEAST_SHARDS, -(-sum(q.quota for q in plan) // SHARD_TOKENS))
+    drawn = places(plan, sums, count, seed)
+    whole = sized.join(spark.createDataFrame([p for p in drawn if p[4] is None], PLACES), ["source", "block"])
+    cut = _finish(sized, [p for p in drawn if p[4] is not None], blocks, seed, place)
     key = F.xxhash64(F.lit(seed), "shard", "copy", "doc_id").alias("shuffle_key")
-    return whole.unionByName(cut).select("doc_id", "source", "copy", "shard", "n_tokens", key), plan
+    return whole.drop("take").unionByName(cut.drop("take")).select("doc_id", "source", "copy", "shard", "n_tokens", key), plan
 
 
 def reached(spark: SparkSession, mixture: DataFrame, plan: list[Quota]) -> DataFrame:
@@ -139,10 +186,10 @@ def reached(spark: SparkSession, mixture: DataFrame, plan: list[Quota]) -> DataF
     schema = "source string, target_share double, max_repeats int, tokens_available bigint, quota bigint"
     wanted = spark.createDataFrame([tuple(q) for q in plan], schema)
     got = mixture.groupBy(F.col("source").alias("g_source")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("copy").alias("top"))
-    all_tokens = mixture.agg(F.sum("n_tokens").alias("whole"))
+    every = Window.partitionBy(F.lit(1))  # one row per source of the targets
     return (
         wanted.join(got, F.col("source") == F.col("g_source"), "left")
-        .join(all_tokens, F.lit(True))
+        .withColumn("whole", F.sum("n").over(every))
         .select(
             "source",
             "target_share",
@@ -156,6 +203,8 @@ def reached(spark: SparkSession, mixture: DataFrame, plan: list[Quota]) -> DataF
     )
 
 
-def write_shards(mixture: DataFrame, path: str) -> None:
-    """One folder per shard, each shuffled by its key."""
+def write_shards(mixture: DataFrame, path: str) -> DataFrame:
+    """One folder per shard, each shuffled by its key; gives the written table. A shard is about SHARD_TOKENS, so one task sorts it."""
+    schema = mixture.schema
     mixture.repartition("shard").sortWithinPartitions("shard", "shuffle_key").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return mixture.sparkSession.read.schema(schema).parquet(path)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.session import spread_out
@@ -31,8 +31,8 @@ TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern which the vocabulary was made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Characters up to which a text is encoded in one call.
-LEAF = 2048
+#: Characters up to which a text is encoded in one call; most texts are longer and come out of the tree.
+LEAF = 64
 
 
 def _kind(c: str) -> str:
@@ -113,8 +113,20 @@ class Encoder:
         return self._bpe.decode(ids)
 
 
+def ship(spark: SparkSession, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> None:
+    """Send the vocabulary file to all executors, for clusters on which the folder does not exist everywhere."""
+    spark.sparkContext.addFile(f"{folder}/{name}.tiktoken")
+
+
 @lru_cache(maxsize=4)
 def encoder(folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Encoder:
+    """The encoder of a vocabulary in ``folder``, else in what was sent by :func:`ship`."""
+    import os
+
+    if not os.path.exists(f"{folder}/{name}.tiktoken"):
+        from pyspark import SparkFiles
+
+        folder = SparkFiles.getRootDirectory()
     return Encoder(folder, name)
 
 

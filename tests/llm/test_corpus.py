@@ -86,11 +86,12 @@ def test_mixture(spark):
     got = mixed.collect()
     assert len({(r.doc_id, r.copy) for r in got}) == len(got)
     assert {r.source for r in got} <= {"big", "mid", "small"} and {r.shard for r in got} == {0, 1, 2, 3}
-    most = {x.source: x.max_repeats for x in plan}
+    most, enc = {x.source: x.max_repeats for x in plan}, tokens.encoder()
     assert all(r.copy < most[r.source] for r in got)
     for x in plan:
-        reached, longest = sum(r.n_tokens for r in got if r.source == x.source), max([r.n_tokens for r in got if r.source == x.source], default=0)
-        assert x.quota <= reached + 1 and reached <= x.quota + longest
+        reached = sum(r.n_tokens for r in got if r.source == x.source)
+        longest = max([len(enc.encode(t)) for _, s, t in docs if s and t and s.strip().lower() == x.source], default=0)
+        assert abs(reached - x.quota) <= longest / 2 + 1
     shares = {r.source: r.share_reached for r in mixture.reached(spark, mixed, plan).collect()}
     assert shares["absent"] == 0 and sum(shares.values()) == pytest.approx(1, abs=1e-4)
     again = mixture.mix(spark, d.repartition(7), t, total=4000, shards=4, blocks=16)[0].collect()
@@ -98,6 +99,20 @@ def test_mixture(spark):
     assert mixture.mix(spark, d.limit(0), t)[0].count() == 0
 
 
+def test_blocks_are_split_until_the_cut_is_small(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixture, "CUT_ROWS", 5)
+    d = spark.range(3000).selectExpr("id as doc_id", "'a' as source", "repeat('word ', cast(1 + id % 7 as int)) as text")
+    t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    mixed, plan = mixture.mix(spark, d, t, total=17_000, shards=3, blocks=4)
+    got = mixed.collect()
+    assert len({(r.doc_id, r.copy) for r in got}) == len(got) and abs(sum(r.n_tokens for r in got) - plan[0].quota) <= 5
+    written = mixture.write_shards(mixed, str(tmp_path / "shards"))
+    assert sorted(map(tuple, written.select(*mixed.columns).collect())) == sorted(map(tuple, got))
+    for shard in range(3):
+        keys = [r.shuffle_key for r in spark.read.parquet(str(tmp_path / "shards" / f"shard={shard}")).collect()]
+        assert len(keys) > 500 and keys == sorted(keys)
+
+
 # abuse
 
 ABUSIVE = [
