@@ -9,7 +9,7 @@ summaries. :func:`streams` gives the inputs of the rule catalogue.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -472,15 +472,21 @@ class Analysis:
         return rules.findings(self.f.spark, self.streams(exports))
 
 
-def metrics(analysis: Analysis, found: DataFrame) -> dict[str, int]:
-    """Counts of a snapshot: files, functions, obligations, summaries and open obligations."""
-    return {
-        "files": analysis.f.calls.select(*FILE).union(analysis.f.functions.select(*FILE)).distinct().count(),
-        "functions": analysis.nodes.count(),
-        "obligations": found.select("rule", *FILE, "start_byte", "end_byte").distinct().count(),
-        "summaries": analysis.summaries.select("node").distinct().count(),
-        "open": found.where("kind = 'uncertifiable'").count(),
-    }
+def metrics(analysis: Analysis, found: DataFrame) -> DataFrame:
+    """One row of counts of a snapshot: files, functions, summaries, obligations, open ones, and the size of each of the nine streams."""
+    f = analysis.f
+    one = lambda df, name: df.select(F.lit(name).alias("what"))
+    counted = [
+        one(f.calls.select(*FILE).union(f.functions.select(*FILE)).distinct(), "files"),
+        one(analysis.nodes, "functions"),
+        one(analysis.summaries.select("node").distinct(), "summaries"),
+        one(found.select("rule", *FILE, "start_byte", "end_byte").distinct(), "obligations"),
+        one(found.where("kind = 'uncertifiable'"), "open"),
+    ]
+    streams = analysis.streams()
+    counted += [one(df, name) for name, df in streams.items()]
+    names = ["files", "functions", "summaries", "obligations", "open", *streams]
+    return reduce(DataFrame.unionByName, counted).groupBy().agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
 
 
 def forwarded(args: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -80,8 +80,8 @@ def test_reachability_and_summaries(analysis):
     reached = {names.get(r.node) for r in analysis.reachable.collect()}
     assert {"Good", "Through", "helper", "other"} <= reached and "lonely" not in reached
     assert {names.get(r.node) for r in analysis.summaries.collect()} >= {"helper", "other", "Through", "Bad"}
-    m = metrics(analysis, analysis.findings())
-    assert m["files"] == 2 and m["open"] >= 1 and m["functions"] > 15
+    m = metrics(analysis, analysis.findings()).first()
+    assert m.files == 2 and m.open >= 1 and m.functions > 15 and m.obligations > 10 and m.missing_owners > 0
 
 
 MORE = """import { action, affects, createMemo, createStore, createSignal, refresh, onSettled, Loading, Loading as Wait } from "solid-js";
