@@ -451,8 +451,18 @@ class Analysis:
         unknown = i.where("contract is not null and imported is not null").join(e, ["contract", "imported"], "left_anti").select(*FILE, *at, F.lit("SC9001").alias("code"), F.lit("package-contract-export-missing").alias("rule"), F.col("imported").alias("subject"))
         return lost.unionByName(unknown)
 
+    @cached_property
+    def _own_streams(self) -> dict[str, DataFrame]:
+        return {name: self._kept(f"stream-{name}", df) for name, df in self._streams().items()}
+
     def streams(self, exports: DataFrame | None = None) -> dict[str, DataFrame]:
-        """The inputs of the rule catalogue."""
+        """The inputs of the rule catalogue, kept as tables; with the exports of contracts also what contracts show."""
+        own = dict(self._own_streams)
+        if exports is not None:
+            own["static_violations"] = own["static_violations"].unionByName(self.contract_violations(exports))
+        return own
+
+    def _streams(self) -> dict[str, DataFrame]:
         at = [*FILE, F.col("start").alias("start_byte"), F.col("end").alias("end_byte")]
         reads = self.strict_reads.select(*at, "role", F.col("name").alias("subject"))
         through = self.summary_reads.select(*at, "role", F.col("name").alias("subject"))
@@ -460,8 +470,6 @@ class Analysis:
         static = self.static_api.unionByName(self.conditional_returns.select("*", F.lit("SC1004").alias("code"), F.lit("component-returns-conditionally").alias("rule"), F.lit("").alias("subject")))
         static = static.unionByName(self.uncovered_markup.select("*", F.lit("SC9004").alias("code"), F.lit("execution-map-incomplete").alias("rule"), F.lit("").alias("subject")))
         static = static.unionByName(self.target_checks).unionByName(self.optional_violations)
-        if exports is not None:
-            static = static.unionByName(self.contract_violations(exports))
         return {
             "reads": reads.unionByName(through), "writes": writes, "actions": self.actions, "async_reads": self.async_reads,
             "leaf_operations": self.leaf_operations, "cleanup_returns": self.cleanup_returns, "missing_owners": self.missing_owners,

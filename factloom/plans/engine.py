@@ -257,82 +257,7 @@ def summary_closure(spark, d):
     return fixpoint.spread(seeds, edges).groupBy("node").agg(F.sort_array(F.collect_set("tag")).alias("roots"))
 
 
-# roles, rules and findings
-
-_ROLE_SQL = """case when start_byte % 11 = 0 then 'effect-apply' when start_byte % 7 = 0 then 'deferred' when start_byte % 2 = 0 or end_byte % 5 = 0 then 'tracked'
-when cb = 'event-handler' then 'event' when cb = 'deferred' then 'deferred' when cb = 'directive-apply' then 'directive-apply' else 'untracked' end"""
-_POINTS_SQL = f"""pts as (select *, {_ROLE_SQL} as role from (select distinct row_id, project_id, path, start_byte, end_byte, type_text, symbol, call_target,
-case end_byte % 4 when 0 then 'event-handler' when 1 then 'deferred' when 2 then 'directive-apply' else 'render' end cb from entities
-where project_id is not null and path is not null and start_byte is not null and end_byte is not null))
-"""
-
-
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "entities").where("project_id is not null and path is not null and start_byte is not null and end_byte is not null")
-    e = e.select("row_id", *_LOCATION, "type_text", "symbol", "call_target").distinct()
-    m = F.col("end_byte") % 4
-    callback = F.when(m == 0, "event-handler").when(m == 1, "deferred").when(m == 2, "directive-apply").otherwise("render")
-    role = rules.execution_role(F.col("start_byte") % 11 == 0, F.col("start_byte") % 7 == 0, F.col("start_byte") % 2 == 0, F.col("end_byte") % 5 == 0, callback)
-    return e.withColumn("role", role)
-
-
-@query("with " + _POINTS_SQL + "select row_id, role, case when role = 'deferred' and end_byte % 3 = 0 then 'tracked' else role end as async_role from pts")
-def classify_first_match(spark, d):
-    p = _points(spark, d)
-    return p.select("row_id", "role", rules.async_role(F.col("role"), F.col("end_byte") % 3 == 0).alias("async_role"))
-
-
-_FINDINGS_SQL = "with " + _POINTS_SQL + """, h as (
-select project_id, path, start_byte, end_byte, 'SC1001' code, 'strict-read-untracked' rule, coalesce(symbol, '') subject, false uncertain from pts where type_text like 'Accessor%' and role in ('untracked', 'effect-apply')
-union all select project_id, path, start_byte, end_byte, 'SC2001', 'reactive-write-in-owned-scope', coalesce(symbol, ''), false from pts where type_text like 'Setter%' and role not in ('event', 'deferred', 'effect-apply', 'directive-apply') and not (start_byte % 13 = 0)
-union all select project_id, path, start_byte, end_byte, 'SC2002', 'action-called-in-owned-scope', call_target, false from pts where call_target is not null and role not in ('event', 'deferred', 'effect-apply', 'directive-apply')
-union all select project_id, path, start_byte, end_byte, case start_byte % 3 when 0 then 'SC4002' when 1 then 'SC4003' else 'SC4001' end, case start_byte % 3 when 0 then 'no-owner-cleanup' when 1 then 'no-owner-boundary' else 'no-owner-effect' end,
-  case start_byte % 3 when 0 then 'cleanup' when 1 then 'boundary' else 'effect' end, end_byte % 17 = 0 from pts where type_text = 'unknown' and end_byte % 2 = 0),
-x as (select distinct h.project_id, path, start_byte, end_byte, code, rule, case when uncertain then 'uncertifiable' else 'violation' end kind,
-case when uncertain then 'error' when code in ('SC2001', 'SC2002') then 'error' else 'warning' end severity, subject from h)
-"""
-
-
-def _findings(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d)
-    subject = F.coalesce("symbol", F.lit("")).alias("subject")
-    operation = F.when(F.col("start_byte") % 3 == 0, "cleanup").when(F.col("start_byte") % 3 == 1, "boundary").otherwise("effect")
-    return rules.findings(
-        spark,
-        {
-            "reads": p.where("type_text like 'Accessor%'").select(*_LOCATION, "role", subject),
-            "writes": p.where("type_text like 'Setter%'").select(*_LOCATION, "role", subject, (F.col("start_byte") % 13 == 0).alias("allowed_by_option")),
-            "actions": p.where("call_target is not null").select(*_LOCATION, "role", F.col("call_target").alias("subject")),
-            "missing_owners": p.where("type_text = 'unknown'").select(*_LOCATION, operation.alias("operation"), (F.col("end_byte") % 2 == 0).alias("report"), (F.col("end_byte") % 17 == 0).alias("uncertain")),
-        },
-    )
-
-
-@query(_FINDINGS_SQL + "select * from x")
-def rule_findings(spark, d):
-    return _findings(spark, d).orderBy("project_id", "path", "start_byte", "code", "subject")
-
-
-@query(_FINDINGS_SQL + """select project_id, case when bool_or(kind = 'violation') then 'violation' when bool_or(kind = 'uncertifiable') then 'uncertifiable' else 'certified' end status,
-count(*) filter (severity = 'error') n_errors, count(*) filter (severity = 'warning') n_warnings from x group by 1""")
-def finding_status(spark, d):
-    return rules.status(_findings(spark, d), ["project_id"])
-
-
-@query(_FINDINGS_SQL + "select project_id, count(*) n_obligations from (select distinct project_id, rule, path, start_byte, end_byte from x) group by 1")
-def finding_metrics(spark, d):
-    return rules.obligations(_findings(spark, d))
-
-
-@query(_FINDINGS_SQL + "select path || ':' || start_byte || ': ' || severity || ' ' || code || ' ' || rule as line from x")
-def text_report(spark, d):
-    return sinks.text_report(_findings(spark, d))
-
-
-@query(_FINDINGS_SQL + "select json_object('kind', kind, 'code', code, 'rule', rule, 'severity', severity, 'project_id', project_id, 'path', path, 'start_byte', start_byte, 'end_byte', end_byte)::varchar as json from x")
-def snapshot_json(spark, d):
-    return sinks.snapshot_json(_findings(spark, d))
-
+# findings
 
 @query("""with f as (select distinct project_id, rule, primary_location.path path, primary_location.start_byte start_byte, record_id from findings where primary_location is not null)
 select project_id, rule, path, start_byte, min(record_id) record_id from f group by 1, 2, 3, 4""")

@@ -3,10 +3,10 @@
 import pytest
 from compare import differences
 
-from factloom.plans import engine, records
+from factloom.plans import engine, program, records
 
-PARTS = {**records.QUERIES, **engine.QUERIES}
-SQL = {**records.SQL, **engine.SQL}
+PARTS = {**records.QUERIES, **engine.QUERIES, **program.QUERIES}
+SQL = {**records.SQL, **engine.SQL, **program.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(PARTS))
