@@ -105,11 +105,16 @@ class Analysis:
         end_names = s.select(key("id").alias("e_k"), F.when(F.col("decl_path").contains(FRAMEWORK), F.col("name")).alias("primitive"))
         return self._kept("roots", named.join(end_names, F.col("root") == F.col("e_k"), "left").select("project_id", "id", "root", "primitive"))
 
-    def _root_at(self, df: DataFrame, start: str, end: str, prefix: str) -> DataFrame:
-        """Adds the root and primitive of the entity at an exact span (the last recorded one), and whether there is any."""
+    @cached_property
+    def located_roots(self) -> DataFrame:
+        """Root and primitive of the entity at each exact span (the greatest symbol of several)."""
         e = self.f.entities.where("symbol is not null and symbol <> ''").groupBy(*FILE, "start_byte", "end_byte").agg(F.max("symbol").alias("symbol"))
         e = e.join(self.roots.withColumnRenamed("id", "symbol"), ["project_id", "symbol"], "left")
-        e = e.select(F.col("project_id").alias("e_p"), F.col("path").alias("e_f"), F.col("start_byte").alias("e_s"), F.col("end_byte").alias("e_e"), F.coalesce("root", F.concat_ws("\x00", "project_id", "symbol")).alias(f"{prefix}root"), F.col("primitive").alias(f"{prefix}primitive"))
+        return self._kept("located_roots", e.select(*FILE, "start_byte", "end_byte", F.coalesce("root", F.concat_ws("\x00", "project_id", "symbol")).alias("root"), "primitive"))
+
+    def _root_at(self, df: DataFrame, start: str, end: str, prefix: str) -> DataFrame:
+        """Adds the root and primitive of the entity at an exact span; null where there is none."""
+        e = self.located_roots.toDF("e_p", "e_f", "e_s", "e_e", f"{prefix}root", f"{prefix}primitive")
         on = (F.col("project_id") == F.col("e_p")) & (F.col("path") == F.col("e_f")) & (F.col(start) == F.col("e_s")) & (F.col(end) == F.col("e_e"))
         return df.join(e, on, "left").drop("e_p", "e_f", "e_s", "e_e")
 
@@ -200,6 +205,17 @@ class Analysis:
         role = rules.execution_role(F.col("in_apply"), F.col("in_allowed"), F.col("in_tracked"), F.col("in_argument"), F.col("callback"))
         return df.join(out.select(*FILE, *ids, role.alias("role")), [*FILE, *ids], "left")
 
+    @cached_property
+    def placed_calls(self) -> DataFrame:
+        """Every call span once, with the innermost function around it and its execution role: most relations look calls up here."""
+        spans_ = self.calls.select(*FILE, "start", "end").distinct()
+        return self._kept("placed_calls", self.with_role(self.enclosing(spans_, "start", "end", ["start", "end"]), "start", "end", ["start", "end"]).select(*FILE, "start", "end", "owner", "role"))
+
+    def at_calls(self, df: DataFrame, start: str = "start", end: str = "end", keep: tuple[str, ...] = ("owner", "role")) -> DataFrame:
+        """Adds owner and role of rows that stand at calls."""
+        p = self.placed_calls.select(*FILE, F.col("start").alias(start), F.col("end").alias(end), *keep)
+        return df.join(p, [*FILE, start, end], "left")
+
     # sources, reads and writes
 
     @cached_property
@@ -220,8 +236,7 @@ class Analysis:
     def accesses(self) -> DataFrame:
         """Calls of accessors and setters with the enclosing function and the execution role."""
         hit = self.calls.join(self.sources.withColumnRenamed("root", "callee_root"), "callee_root").select(*FILE, "start", "end", "source", "name")
-        placed = self.enclosing(hit, "start", "end", ["start", "end"])
-        return self._kept("accesses", self.with_role(placed, "start", "end", ["start", "end"]))
+        return self._kept("accesses", self.at_calls(hit))
 
     def _named(self, upper: bool) -> DataFrame:
         """Spans of the functions with an upper-case initial (components), or with a lower-case one."""
@@ -240,7 +255,7 @@ class Analysis:
     def call_edges(self) -> DataFrame:
         """src, dst, call: direct calls between functions; src is null for calls at module level."""
         hit = self.calls.join(self.by_root, F.col("callee_root") == F.col("fn_root")).select(*FILE, "start", "end", F.col("target").alias("dst"))
-        placed = self.enclosing(hit, "start", "end", ["start", "end"])
+        placed = self.at_calls(hit, keep=("owner",))
         return self._kept("call_edges", placed.select(*FILE, "start", "end", F.col("owner").alias("src"), "dst"))
 
     @cached_property
@@ -265,7 +280,7 @@ class Analysis:
         at = self.call_edges.join(self.summaries, F.col("dst") == F.col("node")).select(*FILE, "start", "end", "name")
         one = at.groupBy(*FILE, "start", "end").agg(F.min("name").alias("name"))
         one = _inside(_points(one, "start", "end", ["start", "end", "name"]), self._named(True)).select(*FILE, "start", "end", "name")
-        return self.with_role(one, "start", "end", ["start", "end"])
+        return self.at_calls(one, keep=("role",))
 
     # ownership
 
@@ -282,7 +297,7 @@ class Analysis:
             .when((F.col("pos") == 0) & F.col("primitive").isin(*LEAF_ARGUMENT_0), rules.LEAF)
         )
         labelled = self.callback_nodes(self.args.withColumn("sets", edge).where("sets is not null")).where("target is not null")
-        placed = self.enclosing(labelled, "call_start", "call_end", ["call_start", "call_end", "pos"])
+        placed = self.at_calls(labelled, "call_start", "call_end", ("owner",))
         passed = placed.where("owner is not null").select(F.col("owner").alias("src"), F.col("target").alias("dst"), "sets")
         top = placed.where("owner is null").select(F.col("target").alias("node"), F.col("sets").alias("context"))
         handlers = self.f.regions.where("group = 'callbackRoles' and label in ('event-handler', 'directive-apply')").select(*FILE, F.col("start").alias("call_start"), F.col("end").alias("call_end"), F.lit(0).alias("pos"), "start", "end", F.lit("identifier").alias("value"))
@@ -335,7 +350,7 @@ class Analysis:
     def async_reads(self) -> DataFrame:
         """Reads of pending values: role, the leaf owner around them, and whether a loading boundary is."""
         hit = self.calls.join(self.async_sources, "callee_root", "left_semi").select(*FILE, "start", "end", F.col("callee_text").alias("subject"))
-        hit = self.with_role(hit, "start", "end", ["start", "end"])
+        hit = self.at_calls(hit, keep=("role",))
         leaf = _intervals(self.args.where((F.col("pos") == 0) & F.col("primitive").isin(*LEAF_ARGUMENT_0)), "start", "end", {"primitive": "leaf_name"})
         inside = spans.containing(_points(hit, "start", "end", ["start", "end"]), leaf, FILE, SLOT)
         owner = inside.groupBy(*FILE, "start", "end").agg(F.min_by("leaf_name", F.col("i_end") - F.col("i_start")).alias("leaf_owner"))
@@ -348,7 +363,7 @@ class Analysis:
         made = self.calls.where("primitive = 'action'").select(*FILE, F.col("start").alias("init_start"), F.col("end").alias("init_end"))
         bound = self._root_at(self.f.binding_names.where("array_slot is null").join(made, [*FILE, "init_start", "init_end"]), "start", "end", "b_").select(F.col("b_root").alias("callee_root")).distinct()
         hit = self.calls.join(bound, "callee_root", "left_semi").select(*FILE, "start", "end", F.col("callee_text").alias("subject"))
-        return self.with_role(hit, "start", "end", ["start", "end"]).select(*FILE, F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "subject", "role")
+        return self.at_calls(hit, keep=("role",)).select(*FILE, F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "subject", "role")
 
     @cached_property
     def target_checks(self) -> DataFrame:
@@ -426,7 +441,7 @@ class Analysis:
         seeds = self.callback_nodes(h).where("target is not null").select(F.col("target").alias("node"), F.lit(0).alias("tag"))
         inside = fixpoint.spread(seeds, self.call_edges.where("src is not null").select("src", "dst")).select(F.col("node").alias("owner"))
         made = self.calls.where(F.col("primitive").isin(*DIRECTIVE_CREATED)).select(*FILE, "start", "end", "primitive")
-        return self.enclosing(made, "start", "end", ["start", "end"]).join(inside, "owner", "left_semi").select(*FILE, F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "primitive")
+        return self.at_calls(made, keep=("owner",)).join(inside, "owner", "left_semi").select(*FILE, F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "primitive")
 
     @cached_property
     def static_api(self) -> DataFrame:
