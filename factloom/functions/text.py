@@ -73,8 +73,9 @@ def uri_path(uri: Column) -> Column:
     return F.when(uri.startswith("file://"), F.url_decode(F.substr(uri, F.lit(8)))).otherwise(uri)
 
 
-def docs_url(base: str, code: Column) -> Column:
-    return F.concat(F.lit(base.rstrip("/") + "/"), code)
+def docs_url(base: str, rule: Column) -> Column:
+    """The page of a rule, by its name, under a base address."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), rule, F.lit(".md"))
 
 
 def apply_edits(text: Column, edits: Column) -> Column:
@@ -103,3 +104,28 @@ def component_name(name: Column) -> Column:
 def async_type(type_text: Column) -> Column:
     """Whether a return type's text is a promise or an asynchronous iterable."""
     return type_text.rlike(r"\b(Promise|PromiseLike|AsyncIterable)\b")
+
+
+#: Result types that are cleanups or nothing, and what a function type may not hold to be one.
+NO_RESULT = ["void", "undefined", "never", "VoidFunction"]
+NO_CLEANUP = ["Promise", "AsyncIterable", "number", "string", "boolean", "null", "{"]
+
+
+def cleanup_type(type_text: Column) -> Column:
+    """Whether the text of a result type says that it is a cleanup function or nothing; null where there is no text."""
+    t = F.trim(type_text)
+    denied = F.lit(False)
+    for word in NO_CLEANUP:
+        denied = denied | t.contains(word)
+    return t.isin(*NO_RESULT) | (t.contains("=>") & ~denied)
+
+
+def property_start(text: Column, start: Column, end: Column) -> Column:
+    """Byte offset of the property in a callee's span: what follows its last dot; the start where there is none or the span lies outside."""
+    own = byte_slice(text, start, end)
+    return F.when(own.contains("."), end - F.octet_length(F.substring_index(own, ".", -1))).otherwise(start)
+
+
+def path_uri(path: Column) -> Column:
+    """The file URI of a path: everything but unreserved characters and slashes is percent-encoded."""
+    return F.concat(F.lit("file://"), F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))

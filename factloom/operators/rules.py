@@ -177,3 +177,8 @@ def execution_role(in_effect_apply: Column, in_allowed: Column, in_tracked: Colu
 def async_role(role: Column, in_markup: Column) -> Column:
     """For pending reads a deferred callback inside markup counts as tracked."""
     return F.when((role == "deferred") & in_markup, "tracked").otherwise(role)
+
+
+def execution_name(role: Column) -> Column:
+    """What a contract calls an execution role: tracked, deferred, or inline for all others."""
+    return F.when(role.isin("tracked", "deferred"), role).otherwise("inline")

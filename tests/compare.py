@@ -60,7 +60,7 @@ if __name__ == "__main__":
 
     from factloom.session import build_session
 
-    spark = build_session()
+    spark = build_session(__import__("os").environ.get("COMPARE_MASTER", "local[8]"))
     d = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
     sql = entry.oracle_sql()

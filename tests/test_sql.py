@@ -3,10 +3,10 @@
 import pytest
 from compare import differences
 
-from factloom.plans import engine, program, records
+from factloom.plans import engine, program, records, scalars
 
-PARTS = {**records.QUERIES, **engine.QUERIES, **program.QUERIES}
-SQL = {**records.SQL, **engine.SQL, **program.SQL}
+PARTS = {**records.QUERIES, **engine.QUERIES, **program.QUERIES, **scalars.QUERIES}
+SQL = {**records.SQL, **engine.SQL, **program.SQL, **scalars.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(PARTS))
