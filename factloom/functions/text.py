@@ -129,3 +129,16 @@ def property_start(text: Column, start: Column, end: Column) -> Column:
 def path_uri(path: Column) -> Column:
     """The file URI of a path: everything but unreserved characters and slashes is percent-encoded."""
     return F.concat(F.lit("file://"), F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))
+
+
+def returned_arrow(value: Column) -> Column:
+    """Whether a value's text begins an arrow function: parameters in parentheses up to the first closing one, or a name, and an arrow."""
+    return value.rlike(r"^\s*(async\s*)?(\([^)]*\)|[A-Za-z0-9_$]+)\s*=>")
+
+
+def constant_array_binding(before_name: Column, after_name: Column, after_callee: Column) -> Column:
+    """Whether a call initialises ``const [name, …] =``: from the text before the first name, from the name to the callee, and after the callee.
+
+    After the callee a type in angle brackets may stand before the arguments.
+    """
+    return before_name.rlike(r"const\s*\[\s*$") & after_name.rlike(r"\]\s*=\s*$") & after_callee.rlike(r"^\s*(<[^>]*>\s*)?\(")

@@ -122,7 +122,7 @@ class Analysis:
     def calls(self) -> DataFrame:
         """Calls with the callee's root and primitive; the callee's text counts only where it has no entity."""
         c = self._root_at(self.f.calls, "callee_start", "callee_end", "callee_")
-        known = sorted({*OWNED_ARGUMENT_0, *LEAF_ARGUMENT_0, *LEAF_FORBIDDEN, *ALLOWED_ARGUMENT_0, *TRACKED_ARGUMENT_0, *SOURCES, "runWithOwner", "onCleanup", "refresh", "affects", "action"})
+        known = sorted({*OWNED_ARGUMENT_0, *LEAF_ARGUMENT_0, *LEAF_FORBIDDEN, *ALLOWED_ARGUMENT_0, *TRACKED_ARGUMENT_0, *SOURCES, "runWithOwner", "onCleanup", "refresh", "affects", "action", "merge"})
         by_text = F.when(F.col("callee_root").isNull() & text.last_segment(F.col("callee_text")).isin(*known), text.last_segment(F.col("callee_text")))
         return self._kept("calls", c.withColumn("primitive", F.coalesce("callee_primitive", by_text)).drop("callee_primitive"))
 
@@ -232,6 +232,25 @@ class Analysis:
         every = fixpoint.spread(tagged, via)
         return self._kept("sources", every.select(F.col("node").alias("root"), F.substring_index("tag", " ", 1).alias("source"), F.substring_index("tag", " ", -1).alias("name")).groupBy("root").agg(F.min("source").alias("source"), F.min("name").alias("name")))
 
+    @cached_property
+    def props_roots(self) -> DataFrame:
+        """(root, component): symbols that hold the props of a component, and the component they come from.
+
+        The first parameter of a component is one, and so is what is initialised by one of these by name, or by ``merge`` with one of
+        these among its arguments, until nothing is new; where several come in question the first found counts.
+        """
+        if self.f.params is None:
+            return self.roots.where("false").select("root", F.col("root").alias("component"))
+        own = self.nodes.where(text.component_name(F.col("name"))).select(*FILE, F.col("start").alias("fn_start"), F.col("end").alias("fn_end"), F.col("name").alias("tag"))
+        first = self._root_at(self.f.params.where("pos = 0 and shape <> 'object'"), "start", "end", "p_").where("p_root is not null").join(own, [*FILE, "fn_start", "fn_end"])
+        bound = self._root_at(self.f.binding_names, "start", "end", "to_").where("to_root is not null").select(*FILE, "init_start", "init_end", "to_root")
+        by_name = self._root_at(bound, "init_start", "init_end", "from_").select(F.col("from_root").alias("src"), F.col("to_root").alias("dst"), F.struct(*FILE, "init_start").alias("ord"))
+        given = self._root_at(self.args.where("primitive = 'merge'"), "start", "end", "a_").select(*FILE, F.col("call_start").alias("init_start"), F.col("call_end").alias("init_end"), "a_root")
+        merged = given.join(bound, [*FILE, "init_start", "init_end"]).select(F.col("a_root").alias("src"), F.col("to_root").alias("dst"), F.struct(*FILE, "init_start").alias("ord"))
+        steps = by_name.unionByName(merged).where("src is not null")
+        found = fixpoint.first_wins(first.select(F.col("p_root").alias("node"), "tag"), steps)
+        return self._kept("props_roots", found.select(F.col("node").alias("root"), F.col("tag").alias("component")))
+
     @cached_property
     def accesses(self) -> DataFrame:
         """Calls of accessors and setters with the enclosing function and the execution role."""

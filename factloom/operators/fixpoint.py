@@ -85,18 +85,40 @@ def spread(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None) -
     return spark.read.schema(schema).parquet(*[f"{folder}/known/r={k}" for k in range(r + 1)])
 
 
-def path_counts(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(root, node, n_paths): the number of paths of up to ``depth`` edges from each root, on acyclic edges.
+def first_wins(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, tag) for all nodes reachable from ``seeds`` (node, tag) along ``edges`` (src, dst, ord), one tag each: the one that arrives first.
 
-    Counts are added up per round, so the work follows the pairs, not the paths.
+    Fewer steps come first, then the lower ord, then the lower tag; a seed keeps its lowest tag. Goes on until nothing is new.
+    """
+    spark, folder = seeds.sparkSession, scratch_path(seeds.sparkSession, "first")
+    edges.select("src", "dst", "ord").write.parquet(f"{folder}/edges")
+    steps = spark.read.parquet(f"{folder}/edges")
+    start = seeds.groupBy("node").agg(F.min("tag").alias("tag"))
+    schema, r = start.schema, 0
+    read = lambda rounds: spark.read.schema(schema).parquet(*[f"{folder}/known/r={k}" for k in rounds])
+    new = _write(start, f"{folder}/known/r=0", F.count(F.lit(1)))
+    while new:
+        met = read([r]).join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min_by("tag", F.struct("ord", "tag")).alias("tag"))
+        new = _write(met.join(read(range(r + 1)), "node", "left_anti"), f"{folder}/known/r={r + 1}", F.count(F.lit(1)))
+        r += 1
+    return read(range(r + 1))
+
+
+def path_counts(roots: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, node, n_paths): the number of paths from each root, on acyclic edges; of up to ``depth`` edges if that is given.
+
+    Counts are added up per round, so the work follows the pairs, not the paths. Cycles are an error where no depth is given: a path
+    longer than there are edges proves one.
     """
     spark, folder = roots.sparkSession, scratch_path(roots.sparkSession, "paths")
-    edges.select("src", "dst").write.parquet(f"{folder}/edges")
+    n_edges = _write(edges.select("src", "dst"), f"{folder}/edges", F.count(F.lit(1)))
     steps = spark.read.parquet(f"{folder}/edges")
     start = roots.select(F.col("node").alias("root"), "node", F.lit(1).cast("bigint").alias("n"))
     schema = start.schema
     new, r = _write(start, f"{folder}/level/r=0", F.count(F.lit(1))), 0
-    while new and r < depth:
+    while new and (depth is None or r < depth):
+        if r > n_edges:
+            raise RuntimeError("the edges have a cycle")
         front = spark.read.schema(schema).parquet(f"{folder}/level/r={r}")
         r += 1
         nxt = front.join(steps, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.sum("n").alias("n"))

@@ -214,12 +214,17 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return events, spans.near_in_time(events, "user_id", "ts", "event_id", 7200)
 
 
-@query("with recursive " + _EDGES_SQL + """, t as (select event_id root, event_id node, 0 depth from events where event_type = 'signup'
-union all select t.root, e.dst, t.depth + 1 from t join e on e.src = t.node where t.depth < 6)
-select root, node, count(*) n_paths from t group by 1, 2""")
+@query("""with a as (select 'n' || s_nationkey n, 's' || s_suppkey s from supplier), b as (select distinct 's' || l_suppkey s, 'p' || l_partkey p from lineitem), c as (select distinct 'p' || l_partkey p, 'o' || l_orderkey o from lineitem),
+x as (select n as root, n as node, 1 as k from (select distinct n from a) union all select n, s, 1 from (select distinct n, s from a) union all select n, p, count(*) from (select distinct n, s from a) join b using (s) group by 1, 2
+  union all select n, o, count(*) from (select distinct n, s from a) join b using (s) join c using (p) group by 1, 2) select root, node, sum(k)::bigint n_paths from x group by 1, 2""")
 def reach_paths(spark, d):
-    events, edges = _graph(spark, d)
-    return fixpoint.path_counts(events.where("event_type = 'signup'").select(F.col("event_id").alias("node")), edges, depth=6)
+    """Paths from each nation over its suppliers and their parts to all orders of these: the number of paths to every node, of any length."""
+    lines, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    of = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nation = s.select(of("n", "s_nationkey").alias("src"), of("s", "s_suppkey").alias("dst")).distinct()
+    parts = lines.select(of("s", "l_suppkey").alias("src"), of("p", "l_partkey").alias("dst")).distinct()
+    orders = lines.select(of("p", "l_partkey").alias("src"), of("o", "l_orderkey").alias("dst")).distinct()
+    return fixpoint.path_counts(nation.select(F.col("src").alias("node")).distinct(), nation.union(parts).union(orders))
 
 
 @query("with recursive " + _EDGES_SQL + """, t as (select event_id node from events where event_type = 'signup' union select e.dst from t join e on e.src = t.node) select node from t""")

@@ -24,7 +24,7 @@ SQL: dict[str, str] = {}
 BRANDS = {
     "Brand#1": "createSignal", "Brand#2": "createMemo", "Brand#3": "createEffect", "Brand#4": "createRenderEffect", "Brand#5": "createRoot", "Brand#6": "createStore", "Brand#7": "createTrackedEffect", "Brand#8": "onSettled",
     "Brand#9": "onCleanup", "Brand#10": "flush", "Brand#11": "untrack", "Brand#12": "action", "Brand#13": "runWithOwner", "Brand#14": "createProjection", "Brand#15": "createReaction", "Brand#16": "refresh", "Brand#17": "affects",
-    "Brand#18": "mapArray", "Brand#19": "children", "Brand#20": "Loading", "Brand#21": "createSignal", "Brand#22": "createMemo",
+    "Brand#18": "mapArray", "Brand#19": "children", "Brand#20": "Loading", "Brand#21": "createSignal", "Brand#22": "createMemo", "Brand#23": "merge",
 }
 
 _BASE = """
@@ -39,7 +39,8 @@ arg0 as (select path, s, t, 0 pos, s + 1 a_s, mid a_t, case pr when '3-MEDIUM' t
   union all select path, s, t, 1, mid + 1, t - 1, 'function' from co where pr <> '5-LOW' and st <> 'P'),
 ent0 as (select path, s, s + 1 t, case rf when 'R' then 's' || supp when 'A' then 'p' || part else case ls when 'O' then 'v' || supp else 'w' || supp end end symbol from lin
   union all select path, s, s, 'p' || part from co union all select path, s, s + 1, 'o' || k from fn union all select path, t - 1, t - 1, 'v' || k from co union all select path, t - 2, t - 2, 'w' || k from co
-  union all select path, s + 1, mid, 's' || supp from co where pr = '5-LOW'),
+  union all select path, s + 1, mid, case st when 'F' then 's' when 'O' then 'q' else 'u' end || supp from co where pr = '5-LOW' union all select path, t - 3, t - 3, 'u' || k from co where pr = '5-LOW'
+  union all select path, s + 2, s + 2, 'q' || k from fn where st <> 'F'),
 sym0 as (select 'p' || p_partkey id, 'b:' || p_brand alias_target, 'part' name, '/src' decl_path from {part} union all select distinct 'b:' || p_brand, cast(null as varchar), {primitive}, '/w/node_modules/solid-js/types.d.ts' from {part}
   union all select 's' || s_suppkey, 'o' || s_suppkey, 'supplier', '/src' from {supplier} union all select 'o' || k, cast(null as varchar), 'order', '/src' from ord
   union all select 'v' || k, cast(null as varchar), 'v', '/src' from co union all select 'w' || k, cast(null as varchar), 'w', '/src' from co),
@@ -85,7 +86,7 @@ def facts(spark: SparkSession, d: str) -> Facts:
         binding_names=rel(
             "bindings",
             f"""path, {big('s init_start', 't init_end')}, name, {big('s start')}, cast(s + 1 as bigint) `end`, cast(null as int) array_slot from fn where is_async
-            union all select path, s, t, 'v' || k, t - 1, t - 1, 0 from co union all select path, s, t, 'w' || k, t - 2, t - 2, 1 from co""",
+            union all select path, s + 1, mid, 'u' || k, t - 3, t - 3, null from co where pr = '5-LOW' union all select path, s, t, 'v' || k, t - 1, t - 1, 0 from co union all select path, s, t, 'w' || k, t - 2, t - 2, 1 from co""",
         ),
         entities=rel("entities", f"path, {big('s start_byte', 't end_byte')}, symbol, cast(null as string) type_text from ent0"),
         symbols=rel("symbols", "id, alias_target, name, decl_path from sym0"),
@@ -94,7 +95,7 @@ def facts(spark: SparkSession, d: str) -> Facts:
         imports=rel("imports", "distinct path, '@trade/' || pr || '/x' module, case st when 'F' then 'known' else 'other' end imported, cast(0 as bigint) start from ord where st <> 'P'"),
         elements=rel("elements", f"path, {big('s start', 't end', 's name_start', 's name_end')} from co"),
         after_await=rel("awaits", f"path, {big('s start', 't end')} from lin where n >= 3"),
-        params=rel("params", f"path, {big('s fn_start', 't fn_end')}, 0 pos, case st when 'F' then 'object' else 'name' end shape, {big('s start', 's end')} from fn"),
+        params=rel("params", f"path, {big('s fn_start', 't fn_end')}, 0 pos, case st when 'F' then 'object' else 'name' end shape, cast(case st when 'F' then s else s + 2 end as bigint) start, cast(case st when 'F' then s else s + 2 end as bigint) `end` from fn"),
     )
 
 
@@ -200,6 +201,15 @@ def analysis_sources(spark, d):
     return analysis(spark, d).sources.select(F.substring_index("root", "\x00", -1).alias("root"), "source", "name")
 
 
+@query(_SYMBOLS + """, hop as (select a.root src, b.root dst from co c join er a on a.path = c.path and a.s = c.s + 1 and a.t = c.mid join er b on b.path = c.path and b.s = c.t - 3 and b.t = c.t - 3 where c.pr = '5-LOW'
+  union select e.root, b.root from args a join er e on e.path = a.path and e.s = a.a_s and e.t = a.a_t join er b on b.path = a.path and b.s = b.t and b.s in (a.t - 1, a.t - 2) join co c on c.path = a.path and c.s = a.s and c.t = a.t where a.primitive = 'merge'),
+pr as (select er.root, min(f.name) component from fn f join er on er.path = f.path and er.s = f.s + 2 and er.t = f.s + 2 where f.name like 'C%' and f.st <> 'F' group by 1),
+props as (select root, component from pr union select h.dst, p.component from props p join hop h on h.src = p.root) select root, component from props""")
+def analysis_props_roots(spark, d):
+    """Symbols that hold a component's props."""
+    return analysis(spark, d).props_roots.select(F.substring_index("root", "\x00", -1).alias("root"), "component")
+
+
 @query(_SYMBOLS + _ACCESSES + "select path, s as start, t as \"end\", source, name, owner, role from acc")
 def analysis_accesses(spark, d):
     a = analysis(spark, d)

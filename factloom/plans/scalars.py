@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import paths, text
-from factloom.operators import analysis, ordering, retained, rules, tables
+from factloom.operators import analysis, fixpoint, ordering, retained, rules, tables
 from factloom.plans import engine, program
 from factloom.plans.records import _PLAIN
 from factloom.plans.tables import table
@@ -206,3 +206,56 @@ def namespace_names(spark, d):
 def exit_rule(spark, d):
     """Whether a run that must certify fails."""
     return sinks.failing_exit(program.analysis_status(spark, d), True).select("fails", "n_errors")
+
+
+@query("""with recursive e as (select distinct project_id || ':' || id src, project_id || ':' || alias_target dst from symbols where alias_target <> ''),
+t as (select distinct project_id || ':' || coalesce(nullif(call_target, ''), symbol) node, case when call_target <> '' then 'full' else 'light' end tier from entities where coalesce(nullif(call_target, ''), symbol) <> ''
+  union select e.dst, t.tier from t join e on e.src = t.node) select node, min(tier) tier from t group by 1""")
+def demand_closure(spark, d):
+    """Symbols that must be described since an entity, or an alias that leads to them, asks for them, and which of them in full."""
+    full = lambda c: F.concat(F.col("project_id"), F.lit(":"), c)
+    edges = table(spark, d, "symbols").where("alias_target <> ''").select(full(F.col("id")).alias("src"), full(F.col("alias_target")).alias("dst"))
+    asked = F.coalesce(F.nullif("call_target", F.lit("")), "symbol")
+    tier = F.when(F.col("call_target") != "", "full").otherwise("light")
+    seeds = table(spark, d, "entities").where(asked != "").select(full(asked).alias("node"), tier.alias("tag")).distinct()
+    return fixpoint.spread(seeds, edges).groupBy("node").agg(F.min("tag").alias("tier"))
+
+
+@query(engine._ROOTS + "select e.row_id node, t.root from e left join t using (row_id) where e.parent is not null and (e.project_id, e.id) in (select project_id, symbol from entities where type_text like 'Promise%')")
+def async_roots(spark, d):
+    """Canonical symbols of the aliases that stand for asynchronous values."""
+    current, edges = engine._aliases(spark, d)
+    late = table(spark, d, "entities").where("type_text like 'Promise%'").select("project_id", F.col("symbol").alias("id")).distinct()
+    return fixpoint.roots_by_doubling(edges).join(current.join(late, ["project_id", "id"], "left_semi").select("node"), "node", "left_semi").select("node", "root")
+
+
+_LINES = """l as (select file_id, unnest(string_split(source, chr(10))) line from (select distinct file_id, source from source_files where source is not null)),
+v as (select distinct file_id, line, regexp_extract(line, '=\\s(.*)$', 1) as value from l where contains(line, '=>'))"""
+
+
+@query(f"with {_LINES} select file_id, line, regexp_matches(value, '^\\s*(async\\s*)?(\\([^)]*\\)|[A-Za-z0-9_$]+)\\s*=>') arrow, regexp_matches(line, '^(export )?const\\s*\\[\\s*\\w+[^=]*\\]\\s*=\\s*\\w+(<[^>]*>)?\\(') pair from v")
+def binding_patterns(spark, d):
+    """Lines that assign arrow functions, and those that take a call's result apart into an array."""
+    f = table(spark, d, "source_files").where("source is not null").select("file_id", "source").distinct()
+    lines = f.select("file_id", F.explode(F.split("source", "\n")).alias("line")).where("contains(line, '=>')").distinct()
+    value = F.regexp_extract("line", r"=\s(.*)$", 1)
+    name = F.regexp_extract("line", r"^((?:export )?const\s*\[\s*)(\w+)([^=]*\]\s*=\s*)(\w+)(.*)$", 1), F.regexp_extract("line", r"^((?:export )?const\s*\[\s*)(\w+)([^=]*\]\s*=\s*)(\w+)(.*)$", 3), F.regexp_extract("line", r"^((?:export )?const\s*\[\s*)(\w+)([^=]*\]\s*=\s*)(\w+)(.*)$", 5)
+    return lines.select("file_id", "line", text.returned_arrow(value).alias("arrow"), text.constant_array_binding(*name).alias("pair"))
+
+
+@query(program._FOUND + """select project_id, path, start_byte, code, rule, subject, row_number() over (partition by project_id, path order by start_byte, code, rule, subject nulls first, end_byte, kind) - 1 as position from found""")
+def findings_order(spark, d):
+    """The order of findings, as positions in each file."""
+    order = ["start_byte", "code", "rule", "subject", "end_byte", "kind"]
+    return ordering.positions(program.analysis_findings(spark, d), ["project_id", "path"], order, 1024).select("project_id", "path", "start_byte", "code", "rule", "subject", "position")
+
+
+@query(engine.SQL["finding_lines"].replace("select project_id, path, b as start_byte", "select project_id, path, b as start_byte, source", 1).join(["with q as (", """) select project_id, path, start_byte, line_no,
+left(rtrim(replace(string_split(source, chr(10))[line_no], chr(13), ''), ' '), 80) excerpt from q where source is not null"""]))
+def finding_excerpts(spark, d):
+    """The line of text that each finding stands in; findings in unknown files have none."""
+    s = table(spark, d, "source_files").where("source is not null and project_id is not null and path is not null")
+    s = s.groupBy("project_id", paths.plain_path(F.col("path")).alias("path")).agg(F.min_by("source", "file_id").alias("source"))
+    f = table(spark, d, "findings").where("project_id is not null and primary_location.path is not null and primary_location.start_byte is not null")
+    f = f.select("project_id", paths.plain_path(F.col("primary_location.path")).alias("path"), F.col("primary_location.start_byte").alias("start_byte"), F.lit("").alias("rule")).distinct()
+    return sinks.excerpts(f, s).select("project_id", "path", "start_byte", "line_no", "excerpt")
