@@ -213,7 +213,7 @@ def _script(text: str, language: str) -> Verdict:
             if count % 1000 == 0 and (kept := g.trim(lang)) is not lang:
                 lang, empty = kept, g.empty
                 mode = _mode(g, lang)
-        m = None if mode & (_TEXT | _TEMPLATE) else fast_tag(text, pos) if mode & (_QUOTED | _NAME) else fast(text, pos)
+        m = fast(text, pos) if not mode & 15 else None if mode & 3 else fast_tag(text, pos)
         if m is not None:
             k, end = m.lastindex, m.end()
             kind = words(m[2], "IDENT") if k == 2 else m[3] if k == 3 else fast_kind[k]

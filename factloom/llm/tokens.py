@@ -33,6 +33,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 #: Characters up to which a text is encoded in one call; most texts are longer and come out of the tree.
 LEAF = 64
+#: The same where only the number of tokens is wanted; the result does not depend on it.
+COUNT_LEAF = 2048
 
 
 def _kind(c: str) -> str:
@@ -156,7 +158,7 @@ def token_counts(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS
         enc = encoder(folder, name)
         for batch in batches:
             out = batch[keep].copy()
-            out["n_tokens"] = [len(x) for x in enc.encode_all(_texts(batch["text"]))]
+            out["n_tokens"] = [len(x) for x in enc.encode_all(_texts(batch["text"]), COUNT_LEAF)]
             yield out
 
     return spread_out(documents.select(*keep, F.col("text"))).mapInPandas(run, schema)
