@@ -118,6 +118,19 @@ def test_async_actions_targets_and_boundaries(spark):
     assert {n for r, _, n in got if r == "no-owner-boundary"} == {15}
 
 
+def test_props_roots(spark):
+    program = """import { merge } from "solid-js";
+export function One(props) { const p = props; const q = p; const all = merge(other, q); return 1; }
+export function lower(props2) { const r = props2; return r; }
+"""
+    f = mini.facts(spark, {"/p.tsx": program})
+    at = [(program.index("(props)") + 1, "One"), (program.index("(props2)") + 1, "lower")]
+    spans_ = {r.name: (r.start, r.end) for r in f.functions.collect()}
+    f.params = spark.createDataFrame([("p", "/p.tsx", *spans_[n], 0, "name", a, program.index(")", a)) for a, n in at], mini.SCHEMAS["params"])
+    got = {(r.root.split("\x00")[-1], r.component) for r in Analysis(f).props_roots.collect()}
+    assert got == {("props", "One"), ("p", "One"), ("q", "One"), ("all", "One")}
+
+
 def test_small_joins(spark, analysis):
     args = spark.createDataFrame([("r", 0, 1), ("r", 1, 2), ("q", 0, 3)], "callee_root string, pos int, call int")
     s = spark.createDataFrame([("r", 1, "tracked")], "root string, parameter int, execution string")

@@ -138,6 +138,39 @@ def test_fixpoints_on_cycles(spark):
     assert rows(fixpoint.lattice(spark.createDataFrame([(1, 1)], "node bigint, context int"), labelled)) == [(1, 5), (2, 5), (3, 4)]
 
 
+def test_first_wins_and_path_counts(spark):
+    edges = spark.createDataFrame([("a", "c", 2), ("b", "c", 1), ("c", "d", 1), ("d", "a", 1), ("a", "d", 5), ("x", "y", 1)], "src string, dst string, ord int")
+    seeds = spark.createDataFrame([("a", "A"), ("b", "B"), ("b", "Z")], "node string, tag string")
+    assert rows(fixpoint.first_wins(seeds, edges)) == [("a", "A"), ("b", "B"), ("c", "B"), ("d", "A")]
+    assert fixpoint.first_wins(seeds.limit(0), edges).count() == 0
+    dag = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], "src int, dst int")
+    one = spark.createDataFrame([(1,)], "node int")
+    assert rows(fixpoint.path_counts(one, dag)) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 2)]
+    with pytest.raises(RuntimeError):
+        fixpoint.path_counts(one, dag.union(spark.createDataFrame([(5, 1)], "src int, dst int")))
+
+
+def test_positions(spark):
+    from factloom.operators import ordering
+
+    data = [("p", n, k) for k, n in enumerate([5, 5, 2000, None, 7, -3, 10**12])] + [(None, 1, 90), ("q", 3, 91)]
+    got = {r.k: r.position for r in ordering.positions(spark.createDataFrame(data, "f string, n bigint, k int"), ["f"], ["n", "k"], 16).collect()}
+    assert got == {3: 0, 5: 1, 0: 2, 1: 3, 4: 4, 2: 5, 6: 6, 90: 0, 91: 0}
+    assert ordering.demands(spark.createDataFrame(data + data, "f string, n bigint, k int"), ["f"], ["n"], 16).count() == 8
+
+
+def test_type_and_pattern_texts(spark):
+    from pyspark.sql import functions as F
+
+    ask = lambda f, texts: [one(spark, t, f(F.col("t"))) for t in texts]
+    assert ask(text.cleanup_type, ["void", " undefined ", "() => void", "() => Promise<void>", "string", "(a: {}) => void", None]) == [True, True, True, False, False, False, None]
+    assert ask(text.returned_arrow, ["(a, b) => 1", "async x=>x", " $a => {}", "(a): T => z", "f(x)", "=> x", ""]) == [True, True, True, False, False, False, False]
+    assert one(spark, "é.b.cd(", text.property_start(F.col("t"), F.lit(0), F.lit(7))) == 5 and one(spark, "ab", text.property_start(F.col("t"), F.lit(1), F.lit(9))) == 1
+    assert one(spark, "/a b/é", text.path_uri(F.col("t"))) == "file:///a%20b/%C3%A9" and one(spark, "/a b/é", text.uri_path(text.path_uri(F.col("t")))) == "/a b/é"
+    assert one(spark, "", text.constant_array_binding(F.lit("const [ "), F.lit(", b] = "), F.lit("<T>(1)")))
+    assert not one(spark, "", text.constant_array_binding(F.lit("let ["), F.lit("] = "), F.lit("(1)")))
+
+
 def test_contracts(spark):
     texts = spark.createDataFrame([('{"schemaVersion": 1, "package": {"name": "a"}, "exports": {"x": {"kind": "function", "callbacks": [{"argument": 0, "execution": "later"}]}}, "evidence": {"kind": "trusted"}}',), ("{",), ('{"schemaVersion": 2}',), (None,),
         ('{"schemaVersion": 1, "package": {"name": "a", "author": 1}, "exports": {}, "evidence": {"kind": "trusted"}}',), ('{"schemaVersion": 1, "package": {"name": "a"}, "exports": {"x": {"kind": "value", "callbacks": [{"at": 1}]}}, "evidence": {"kind": "trusted"}}',)], "text string")

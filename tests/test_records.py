@@ -226,6 +226,25 @@ def test_equal_objects_have_one_identity(spark):
     assert ("call", 2) in counts and ("call_argument", 2) in counts
 
 
+def test_identities_by_hand(spark):
+    import hashlib
+    import json
+
+    def identity(kind, body, children=None):
+        parts = [kind, body] + ([] if children is None else [",".join(children)])
+        return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
+
+    canonical = lambda o: json.dumps(o, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    payload = {"calls": [{"target": "t", "arguments": [{"b": 1, "a": {"d": "é", "c": None}}, None, {"x": []}]}, {"target": "u"}], "asyncFunctions": {"symbol": "s", "callsAfterAwait": {"z": 1.5}}}
+    seen = nested.file_fact_occurrences(spark.createDataFrame([(1, json.dumps(payload))], "record_id bigint, payload string"))
+    got = {(r.child, r.pos_1, r.pos_2): (r.id, r.parent_id) for r in seen.collect()}
+    args = [identity("call_argument", canonical(a)) if a else "null" for a in payload["calls"][0]["arguments"]]
+    call, plain = identity("call", canonical({"target": "t"}), args), identity("call", canonical({"target": "u"}), [])
+    late = identity("call_after_await", canonical({"z": 1.5}))
+    fn = identity("async_function", canonical({"symbol": "s"}), [late])
+    assert got == {("call", 0, -1): (call, None), ("call_argument", 0, 0): (args[0], call), ("call_argument", 0, 2): (args[2], call), ("call", 1, -1): (plain, None), ("async_function", 0, -1): (fn, None), ("call_after_await", 0, 0): (late, fn)}
+
+
 def test_findings_arrays(spark):
     loc = "struct<path string, start_byte bigint>"
     schema = f"record_id bigint, evidence array<struct<message string, location {loc}>>, fixes array<struct<message string, applicability string, edits array<struct<location {loc}, new_text string>>>>"
