@@ -158,14 +158,43 @@ class Analysis:
         pairs = pairs.where("maker <> returned").withColumn("size", F.col("i_end") - F.col("i_start"))
         return pairs.groupBy("returned").agg(F.min_by("maker", F.struct("size", "i_ord")).alias("maker"))
 
+    @cached_property
+    def _factories(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes by symbol root, and (maker, returned), together to a fixpoint.
+
+        A variable set to a call is a function if what the call's target returns is one; a function that returns a call returns what that call's
+        target does. Each can make more of the other, so rounds go on until neither has anything new.
+        """
+        spark, folder = self.f.spark, f"{self.folder}/factories"
+        at = self.calls.where("callee_root is not null").select(*FILE, F.col("start").alias("init_start"), F.col("end").alias("init_end"), "callee_root")
+        sites = self._root_at(self.f.binding_names.where("array_slot is null").join(at, [*FILE, "init_start", "init_end"]), "start", "end", "h_").where("h_root is not null")
+        sites = self._kept("factory-sites", sites.select("callee_root", F.col("h_root").alias("fn_root")).distinct())
+        given = self.f.returns.select(*FILE, F.col("start").alias("init_start"), F.col("end").alias("init_end")).distinct().join(at, [*FILE, "init_start", "init_end"])
+        passed = self._kept("factory-returns", self.enclosing(given, "init_start", "init_end", ["init_start", "init_end"]).where("owner is not null").select("callee_root", F.col("owner").alias("maker")).distinct())
+        roots_of, made_by = self.named_nodes.schema, self.returned_nodes.select("maker", "returned").schema
+        seen = [self.named_nodes.count(), self.returned_nodes.count()]
+        self.named_nodes.write.parquet(f"{folder}/roots/r=0")
+        self.returned_nodes.select("maker", "returned").write.parquet(f"{folder}/made/r=0")
+        r, new = 0, all(seen)
+        read = lambda name, schema, n: spark.read.schema(schema).parquet(*[f"{folder}/{name}/r={k}" for k in range(n)])
+        while new:
+            known, made = read("roots", roots_of, r + 1), read("made", made_by, r + 1)
+            gives = known.join(made, F.col("target") == F.col("maker")).select(F.col("fn_root").alias("callee_root"), "returned")
+            more = gives.join(sites, "callee_root").groupBy("fn_root").agg(F.max("returned").alias("target")).join(known.select("fn_root"), "fn_root", "left_anti")
+            also = gives.join(passed, "callee_root").select("maker", "returned").distinct().join(made, ["maker", "returned"], "left_anti")
+            r += 1
+            new = fixpoint._write(more.select("fn_root", "target"), f"{folder}/roots/r={r}", F.count(F.lit(1))) + fixpoint._write(also, f"{folder}/made/r={r}", F.count(F.lit(1)))
+        return read("roots", roots_of, r + 1), read("made", made_by, r + 1)
+
     @cached_property
     def by_root(self) -> DataFrame:
-        """One node per symbol root: the function of that name, else the function returned by the call that the variable is set to."""
-        made = self.calls.join(self.named_nodes, F.col("callee_root") == F.col("fn_root")).select(*FILE, F.col("start").alias("init_start"), F.col("end").alias("init_end"), F.col("target").alias("maker"))
-        held = self.f.binding_names.where("array_slot is null").join(made, [*FILE, "init_start", "init_end"]).join(self.returned_nodes, "maker")
-        bound = self._root_at(held, "start", "end", "h_").where("h_root is not null").groupBy(F.col("h_root").alias("fn_root")).agg(F.max("returned").alias("target"))
-        rest = bound.join(self.named_nodes.select("fn_root"), "fn_root", "left_anti")
-        return self._kept("by_root", self.named_nodes.unionByName(rest))
+        """One node per symbol root: the function of that name, else the function that the call gives to which the variable is set."""
+        return self._factories[0]
+
+    @property
+    def returned(self) -> DataFrame:
+        """(maker, returned): functions that a function returns, itself or through the calls it returns."""
+        return self._factories[1]
 
     def enclosing(self, df: DataFrame, start: str, end: str, ids: list[str]) -> DataFrame:
         """Adds the innermost function around a span as ``owner`` (null at module level)."""

@@ -131,6 +131,24 @@ export function lower(props2) { const r = props2; return r; }
     assert got == {("props", "One"), ("p", "One"), ("q", "One"), ("all", "One")}
 
 
+def test_factories_to_a_fixpoint(spark):
+    program = """import { createSignal } from "solid-js";
+const [count, setCount] = createSignal(0);
+function make() { return () => count(); }
+function wrap() { return make(); }
+function twice() { return wrap(); }
+function outer() { return () => make(); }
+const a = twice();
+const b = outer();
+const c = b();
+export function One() { const x = a(); return x; }
+export function Two() { const y = c(); return y; }
+export function Three() { const z = b(); return z; }
+"""
+    found = Analysis(mini.facts(spark, {"/f.tsx": program})).findings().where("rule = 'strict-read-untracked'").collect()
+    assert sorted(program[: r.start_byte].count("\n") for r in found) == [9, 10]  # through returned calls, and through a closure's result
+
+
 def test_small_joins(spark, analysis):
     args = spark.createDataFrame([("r", 0, 1), ("r", 1, 2), ("q", 0, 3)], "callee_root string, pos int, call int")
     s = spark.createDataFrame([("r", 1, "tracked")], "root string, parameter int, execution string")
