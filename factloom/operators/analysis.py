@@ -461,7 +461,7 @@ class Analysis:
         boxes = _intervals(self.args.where((F.col("pos") == 0) & F.col("primitive").isin(*CLEANUP_RETURN_0) | (F.col("pos") == 1) & F.col("primitive").isin(*UNOWNED_ARGUMENT_1)), "start", "end", {"primitive": "box"})
         r = self.f.returns
         hit = spans.containing(_points(r, "start", "end", ["value", "type_text"]), boxes, FILE, SLOT)
-        cleanup_type = F.col("type_text").contains("=>") & ~F.col("type_text").rlike(r"\b(Promise|string|number|boolean)\b")
+        cleanup_type = text.cleanup_type(F.col("type_text"))
         status = F.when(F.col("value").isin("function", "undefined") | F.coalesce(cleanup_type, F.lit(False)), "sound").when(F.col("value").isin("identifier", "call") & F.col("type_text").isNull(), "unresolved").otherwise("invalid")
         return hit.select(*FILE, F.col("p_start").alias("start_byte"), F.col("p_end").alias("end_byte"), status.alias("status"), F.col("box").alias("subject")).distinct()
 
