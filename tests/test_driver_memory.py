@@ -3,7 +3,9 @@
 import sys
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
+import __spark_entry__
 from factloom import session
 from factloom.operators import fixpoint
 from factloom.plans import program
@@ -54,3 +56,37 @@ def test_metrics_read_findings_from_a_table(spark, sf_dir, monkeypatch):
     program.analysis_metrics(spark, sf_dir)
     plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Union" not in plan
+
+
+@pytest.fixture(scope="module")
+def own_dir(sf_dir, tmp_path_factory):
+    """A folder that nothing was asked of yet."""
+    path = tmp_path_factory.mktemp("own") / "tables"
+    path.symlink_to(sf_dir)
+    return str(path)
+
+
+#: In this order each makes only the relations that those before it did not need.
+NAMES = [
+    "analysis_findings",
+    "analysis_directive_creations",
+]
+
+
+@pytest.fixture(scope="module")
+def counts():
+    return {"written": 0, "tidied": 0}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_is_tidied_while_it_writes(spark, own_dir, counts, tidied, monkeypatch, name):
+    parquet = DataFrameWriter.parquet
+
+    def write(*a, **k):
+        counts["written"] += 1
+        return parquet(*a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    __spark_entry__.queries()[name](spark, own_dir)
+    counts["tidied"] += len(tidied)
+    assert counts["written"] > 30 and counts["tidied"] >= counts["written"] // 3
