@@ -70,6 +70,7 @@ def own_dir(sf_dir, tmp_path_factory):
 NAMES = [
     "analysis_findings",
     "analysis_directive_creations",
+    "analysis_metrics",
 ]
 
 
