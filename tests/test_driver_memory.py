@@ -71,6 +71,7 @@ NAMES = [
     "analysis_findings",
     "analysis_directive_creations",
     "analysis_metrics",
+    "analysis_owner_contexts",
 ]
 
 
