@@ -72,6 +72,7 @@ NAMES = [
     "analysis_directive_creations",
     "analysis_metrics",
     "analysis_owner_contexts",
+    "analysis_reachable",
 ]
 
 
