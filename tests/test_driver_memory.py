@@ -73,6 +73,7 @@ NAMES = [
     "analysis_metrics",
     "analysis_owner_contexts",
     "analysis_reachable",
+    "analysis_status",
 ]
 
 
