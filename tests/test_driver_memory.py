@@ -74,6 +74,7 @@ NAMES = [
     "analysis_owner_contexts",
     "analysis_reachable",
     "analysis_status",
+    "exit_rule",
 ]
 
 
