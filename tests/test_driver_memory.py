@@ -75,6 +75,7 @@ NAMES = [
     "analysis_reachable",
     "analysis_status",
     "exit_rule",
+    "findings_order",
 ]
 
 
