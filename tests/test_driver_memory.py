@@ -76,6 +76,7 @@ NAMES = [
     "analysis_status",
     "exit_rule",
     "findings_order",
+    "analysis_callbacks",
 ]
 
 
