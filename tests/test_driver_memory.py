@@ -77,6 +77,7 @@ NAMES = [
     "exit_rule",
     "findings_order",
     "analysis_callbacks",
+    "analysis_roles",
 ]
 
 
