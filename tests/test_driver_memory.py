@@ -78,6 +78,7 @@ NAMES = [
     "findings_order",
     "analysis_callbacks",
     "analysis_roles",
+    "analysis_summaries",
 ]
 
 
