@@ -79,6 +79,7 @@ NAMES = [
     "analysis_callbacks",
     "analysis_roles",
     "analysis_summaries",
+    "finding_metrics",
 ]
 
 
