@@ -80,6 +80,7 @@ NAMES = [
     "analysis_roles",
     "analysis_summaries",
     "finding_metrics",
+    "text_report",
 ]
 
 
