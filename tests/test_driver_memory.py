@@ -81,6 +81,7 @@ NAMES = [
     "analysis_summaries",
     "finding_metrics",
     "text_report",
+    "analysis_missing_owners",
 ]
 
 
