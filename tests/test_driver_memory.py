@@ -82,6 +82,7 @@ NAMES = [
     "finding_metrics",
     "text_report",
     "analysis_missing_owners",
+    "context_labels",
 ]
 
 
