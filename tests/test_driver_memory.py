@@ -83,6 +83,7 @@ NAMES = [
     "text_report",
     "analysis_missing_owners",
     "context_labels",
+    "execution_names",
 ]
 
 
