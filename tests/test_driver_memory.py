@@ -84,6 +84,7 @@ NAMES = [
     "analysis_missing_owners",
     "context_labels",
     "execution_names",
+    "analysis_accesses",
 ]
 
 
