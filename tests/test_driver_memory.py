@@ -28,6 +28,20 @@ def test_without_trimming_nothing_fails(spark, monkeypatch):
     assert session.trim(spark) is None
 
 
+def test_heap_keeps_little_free_memory(spark, monkeypatch):
+    ask, given = session._ask, []
+    setting = lambda: ask(spark, "HotSpotDiagnostic", "getVMOption", "MaxHeapFreeRatio").get("value")
+    usual = setting()
+    monkeypatch.setattr(session, "_ask", lambda s, bean, operation, *texts: (given.append(texts[1]) if operation == "setVMOption" else None, ask(s, bean, operation, *texts))[1])
+    session.tidy(spark)
+    assert given == [str(session.MOST_FREE), usual] and setting() == usual
+
+
+def test_without_the_setting_garbage_is_collected_all_the_same(spark, monkeypatch):
+    monkeypatch.setattr(session, "_ask", lambda *a: None)
+    session.tidy(spark)
+
+
 def test_rounds_of_closures_are_tidied(spark, tidied):
     edges = spark.createDataFrame([(k, k + 1) for k in range(8)], "src int, dst int")
     assert fixpoint.spread(spark.createDataFrame([(0, "x")], "node int, tag string"), edges).count() == 9
@@ -42,6 +56,18 @@ def test_facts_are_tidied(spark, sf_dir, tidied):
     assert len(tidied) >= 6
 
 
+def test_functions_by_root_are_made_once(spark, sf_dir, tmp_path, tidied, monkeypatch):
+    """Counted while they are written, not in a job of their own."""
+    (tmp_path / "own").symlink_to(sf_dir)
+    a = program.analysis(spark, str(tmp_path / "own"))
+    assert a.placed_calls and a.named_nodes and a.returned_nodes
+    counted, count = [], type(a.calls).count
+    monkeypatch.setattr(type(a.calls), "count", lambda df: counted.append(df) or count(df))
+    before = len(tidied)
+    assert a.by_root.columns == ["fn_root", "target"] and not counted
+    assert len(tidied) - before >= 2
+
+
 def test_one_analysis_is_held(spark, sf_dir, tmp_path):
     (tmp_path / "again").symlink_to(sf_dir)
     first = program.analysis(spark, sf_dir)
